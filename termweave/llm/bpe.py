@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import vocabularies
-from .common import MEMO, slices
+from .common import MEMO, batch_slices, cut, slices
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT = 1 << 15
@@ -203,7 +204,7 @@ def _codec(path: str, compiled) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, n: int = FREQUENT) -> list[str]:
-    """The n most frequent words of all texts; ties by the word."""
+    """At most n of the most frequent words of all texts: whole classes of about equal counts, while they fit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, counts = Codec(path, None), Counter()
@@ -223,8 +224,15 @@ def frequent_words(docs: DataFrame, path: str, n: int = FREQUENT) -> list[str]:
             yield flush()
 
     words = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n bigint")
-    total = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(n).collect()]
+    total = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    total = cut(total.withColumn("class", F.floor(8 * F.log2("n"))), "bpe-words")
+    left, least = n, None
+    for r in total.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():  # a few hundred classes
+        left -= r.words
+        if left < 0:
+            break
+        least = r["class"]
+    return [] if least is None else [r.word for r in total.where(F.col("class") >= least).select("word").collect()]
 
 
 def lexicon_of(docs: DataFrame, path: str, n: int = FREQUENT) -> bytes:
@@ -251,6 +259,24 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
     return _mapped(docs, path, lambda codec, t: (codec.encode(t),), [("ids", pa.list_(pa.int32()))], "ids array<int>", frequent)
 
 
+def with_ids(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """docs with ids and n_tokens beside its columns, which replace clashing ones."""
+    path = path or vocabularies.default_path(VOCABULARY)
+    compiled = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, path, frequent))
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("text").cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, compiled)
+        for batch in batch_slices(batches, "_text"):
+            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["_doc", "ids"])
+
+    schema = StructType([packed.schema["_doc"], StructField("ids", ArrayType(IntegerType()))])
+    found = packed.mapInArrow(run, schema)
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("ids", "n_tokens")]
+    return found.select(*kept, "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded(ids array<int>, ...) with the decoded text beside it."""
     path = path or vocabularies.default_path(VOCABULARY)

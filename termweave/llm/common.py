@@ -11,9 +11,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial window hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -65,6 +67,15 @@ def cut(df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows of keys, those with the smallest hash of the key. A threshold on the hash leaves about 2 n rows to sort."""
+    total = keys.count()
+    rank = F.xxhash64(key)
+    if total > 2 * n:
+        keys = keys.where(rank < int(-(1 << 63) + (1 << 64) * (2 * n / total)))
+    return keys.orderBy(rank, key).limit(n)
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for up to MEMO words."""
 
@@ -121,6 +132,20 @@ def slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size_of:
         yield [values[start:] if c == size_of else others[c][start:] for c in columns]
 
 
+def batch_slices(batches: Iterator[pa.RecordBatch], size_of: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most limit bytes of the text column size_of (or one row, if that is longer)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def block_number() -> int:
     """Where this task's own numbers start."""
     return TaskContext.get().partitionId() << 32

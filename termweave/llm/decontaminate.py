@@ -17,14 +17,17 @@ Defined results: null text has no words and is not contaminated; items without w
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import cut, mix, slices, window_hash
+from .common import batch_slices, cut, mix, window_hash
 
 WINDOW = 10
 GRAM = 5
@@ -120,43 +123,54 @@ _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(
 _NAMES = ["n_words", "n_hit", "n_items", "items", "contaminated", "hits"]
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """doc_id and FIELDS of every row of docs(doc_id, text) against benchmark(item_id, text); hits are spans of words."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+def _scanner(index_of) -> Callable:
+    """Keeps all columns but the text (and _items), and adds FIELDS."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches, "_text"):
+            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+            columns = zip(*(_fields(index, t) for index, t in zip(index_of(batch), texts)))
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("_text", "_items")]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *map(pa.array, columns, _ARROW)], names=[*(n for n, _ in kept), *_NAMES])
+
+    return scan
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, small_bytes: int = SMALL_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and FIELDS of every row of docs(text, ...) against benchmark(item_id, text); hits are spans of words."""
+    docs = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = StructType([*docs.schema.fields[:-1], *_parse_datatype_string(FIELDS).fields])
     benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string"))
     if (benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > small_bytes:
-        return _joined(docs, benchmark)
+        return _joined(docs, benchmark, schema)
     items = [tuple(r) for r in benchmark.collect()]
+    built: list[Index] = []
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
-        for ids, texts in slices(batches, ("doc_id", "text"), "text"):
-            columns = zip(*(_fields(index, t) for t in texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns, _ARROW)], names=["doc_id", *_NAMES])
+    def index_of(batch: pa.RecordBatch) -> Iterator[Index]:
+        built or built.append(Index(items))
+        return repeat(built[0])
 
-    return docs.mapInArrow(scan, f"doc_id bigint, {FIELDS}")
+    return docs.mapInArrow(_scanner(index_of), schema)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, benchmark: DataFrame, schema: StructType) -> DataFrame:
     """The same for a benchmark of any size: a join on fingerprints, then each document against the items it met."""
     lengths = sorted(r[0] for r in benchmark.mapInArrow(_lengths, "n int").distinct().collect())  # at most WINDOW values
     numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-    of_items = benchmark.mapInArrow(_prints("item_id", benchmark.schema["item_id"].dataType.simpleString(), None), f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, text string, n int, h bigint")
-    of_docs = numbered.select("_row", "text").mapInArrow(_prints("_row", "bigint", lengths), "_row bigint, text string, n int, h bigint").drop("text").distinct()
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    of_items = benchmark.mapInArrow(_prints("item_id", None), f"item_id {kind}, text string, n int, h bigint")
+    of_docs = numbered.select("_row", F.col("_text").alias("text")).mapInArrow(_prints("_row", lengths), "_row bigint, text string, n int, h bigint").drop("text").distinct()
     met = of_docs.join(of_items, ["n", "h"]).select("_row", "item_id", "text").distinct()
     met = met.groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("_items"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, items in slices(batches, ("doc_id", "text", "_items"), "text"):
-            columns = zip(*(_fields(Index([(x["item_id"], x["text"]) for x in some or []]), t) for t, some in zip(texts, items)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns, _ARROW)], names=["doc_id", *_NAMES])
+    def index_of(batch: pa.RecordBatch) -> Iterator[Index]:
+        for items in batch.column(batch.schema.get_field_index("_items")).to_pylist():
+            yield Index([(x["item_id"], x["text"]) for x in items or []])
 
-    return numbered.join(met, "_row", "left").select("doc_id", "text", "_items").mapInArrow(scan, f"doc_id bigint, {FIELDS}")
+    return numbered.join(met, "_row", "left").drop("_row").mapInArrow(_scanner(index_of), schema)
 
 
 def _stable(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -166,7 +180,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
 
 
-def _prints(key: str, kind: str, lengths: list[int] | None):
+def _prints(key: str, lengths: list[int] | None) -> Callable:
     """Fingerprints of each row: of its own window length (items), or of all the lengths that items have (documents)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +202,7 @@ def _prints(key: str, kind: str, lengths: list[int] | None):
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of find_overlap()."""
-    return result.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    return result.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:

@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
 LEVEL = 3
+#: Tasks that read archives, at most.
+READERS = 10_000
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,4 +206,6 @@ def read_archives(index: DataFrame) -> DataFrame:
                 if columns := list(zip(*summary(read_archive(path)))):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
-    return index.select("archive").distinct().mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    archives = index.select("archive").distinct()
+    spread = max(1, min(archives.count(), READERS))  # a number, lest small names of large files meet in one task
+    return archives.repartition(spread).mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
