@@ -36,7 +36,8 @@ def group_shares(df: DataFrame, columns: Sequence[str], nulls: bool = True, plac
 def crosstab(df: DataFrame, a: str, b: str, normalise: bool = False) -> DataFrame:
     """(a, b, n) with margins, named All, by grouping sets; long form, so that any number of categories fits."""
     name = lambda c: F.when(F.grouping(c) == 1, F.lit("All")).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    cells = df.cube(a, b).agg(name(a).alias("a"), name(b).alias("b"), F.count("*").alias("n")).select("a", "b", "n")
+    pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    cells = pairs.cube("_a", "_b").agg(name("_a").alias("a"), name("_b").alias("b"), F.count("*").alias("n")).select("a", "b", "n")
     if not normalise:
         return cells
     total = df.agg(F.count("*").alias("_all"))

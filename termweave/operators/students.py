@@ -41,3 +41,12 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str = "student_id") -> D
     a, b = (df.select(key).dropna().distinct() for df in (left, right))
     both = a.withColumn("l", F.lit(1)).join(b.withColumn("r", F.lit(1)), key, "full_outer")
     return both.agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count(F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), 1)).alias("n_both"))
+
+
+def cip_source(df: DataFrame, candidates: tuple[str, ...] = ("term_program_of_study", "program_of_study_term_1"), share: float = 0.05) -> str | None:
+    """The first candidate column of which that share of rows looks like a CIP code; one aggregate looks at all."""
+    present = [c for c in candidates if c in df.columns]
+    if not present:
+        return None
+    row = df.agg(*(F.avg(C.is_cip_like(c).cast("int")).alias(c) for c in present)).first()
+    return next((c for c in present if (row[c] or 0) >= share), None)

@@ -60,6 +60,15 @@ def label_order(df: DataFrame, label: str = "term", seasons=None, drop_unmapped:
     return out.where("term_order IS NOT NULL") if drop_unmapped else out
 
 
+def academic_labels(df: DataFrame, year: str = "term_year", season: str = "term_season") -> DataFrame:
+    """df with grain_key 'year|season|order' and academic_year 'YYYY-YY' of calendar years and season ranks; an academic year
+    starts with its fall (rank 3)."""
+    start = F.col(year) - F.when(F.col(season) < 3, 1).otherwise(0)
+    label = F.concat(start.cast("string"), F.lit("-"), F.lpad(F.pmod(start + 1, F.lit(100)).cast("string"), 2, "0"))
+    key = F.concat_ws("|", F.col(year).cast("string"), F.col(season).cast("string"), (F.col(year) * 100 + F.col(season)).cast("string"))
+    return df.withColumns({"grain_key": key, "academic_year": label})
+
+
 def terms_lookup(spark, first_year: int, last_year: int, seasons: Sequence[str] = ("Spring", "Summer", "Fall", "Winter")) -> DataFrame:
     """Years times seasons with order, calendar year, end date and dense rank: a generated dimension."""
     rows = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"), F.posexplode(F.array(*(F.lit(s) for s in seasons))).alias("place", "season"))

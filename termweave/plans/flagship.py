@@ -28,6 +28,11 @@ def student_term_dataset(cohort: DataFrame, course: DataFrame, dummies: Mapping[
     return names.rename_all(out) if rename else out
 
 
+def read_pair(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Standardised cohort and course tables of a folder."""
+    return spark.read.parquet(f"{folder}/cohort_standardized.parquet"), spark.read.parquet(f"{folder}/course_standardized.parquet")
+
+
 def modelling_table(student_term: DataFrame, attributes: Mapping[str, object], target: Mapping, credits: float | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Checkpoints of selected students with target, leakage masked, split and weighted."""
     checkpoint = checkpoints.first_terms_in_cohort(student_term) if credits is None else checkpoints.first_terms_at_credits(student_term, credits)

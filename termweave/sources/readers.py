@@ -89,6 +89,26 @@ def read_cohorts(spark: SparkSession, file: str | None = None, table: str | None
     return converter(df) if converter else df
 
 
+def read_own_courses(spark: SparkSession, file: str | None = None, table: str | None = None, grades: Mapping[str, str] | None = None, converter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Course rows of schools with names of their own: learner_id and course_credits_*, letter grades as points."""
+    renamed = {"learner_id": "student_id", "course_credits_attempted": "number_of_credits_attempted", "course_credits_earned": "number_of_credits_earned", "course_section_id": "section_id"}
+    df = prepare(read_source(spark, file, table), renamed, ("academic_term",))
+    made = {c: F.col(c).try_cast("double") for c in ("number_of_credits_attempted", "number_of_credits_earned") if c in df.columns}
+    made |= {"grade": C.normal_grade("grade", grades)} if "grade" in df.columns else {}
+    made |= {"academic_term": C.normal_term("academic_term")} if "academic_term" in df.columns else {}
+    df = df.withColumns(made) if made else df
+    return converter(df) if converter else df
+
+
+def read_own_cohorts(spark: SparkSession, file: str | None = None, table: str | None = None, converter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Student rows of such schools: entry_year and entry_term name the cohort; categories are normalised."""
+    df = prepare(read_source(spark, file, table), {"learner_id": "student_id", "entry_year": "cohort", "entry_term": "cohort_term"}, ("cohort_term",))
+    rules = {"cohort_term": C.normal_term, "enrollment_type": C.normal_enrollment, "student_age": C.normal_age, "pell_status_first_year": C.normal_pell, "credential_type_sought_year_1": C.normal_credential}
+    made = {c: rule(c) for c, rule in rules.items() if c in df.columns}
+    df = df.withColumns(made) if made else df
+    return converter(df) if converter else df
+
+
 def read_config(path: str) -> dict:
     """A TOML file."""
     return tomllib.loads(Path(path).read_text())
