@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import batch_slices, hash_sample, mix, slices
+from .common import batch_slices, cut, hash_sample, mix, slices
 
 ORDERS = (4, 5)
 BITS = 22
@@ -89,24 +89,13 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """A model from the features and labels of training documents."""
+def train_rows(rows: list[np.ndarray], toxic: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> Model:
+    """A model from the chosen features (sorted numbers at, scaled by ratio) of training documents and their labels."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
-        return Model(np.zeros(0, np.int32), np.zeros(0), np.log((share + 1e-9) / (1 - share + 1e-9)))
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    ones, zeros = toxic.sum(), len(toxic) - toxic.sum()
-    in_toxic = np.bincount(flat[toxic[owner] == 1], minlength=1 << BITS)
-    in_other = np.bincount(flat[toxic[owner] == 0], minlength=1 << BITS)
-    ratio = np.log((in_toxic + 1) / (ones + 2)) - np.log((in_other + 1) / (zeros + 2))
-    at = np.flatnonzero((in_toxic + in_other >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)).astype(np.int32)
-    ratio = ratio[at]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[at] = np.arange(len(at))
-    column = place[flat]
-    owner, column = owner[column >= 0], column[column >= 0]
+        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    column = np.searchsorted(at, np.concatenate(rows)).astype(np.int32)
     value = ratio[column]
     w, b = np.zeros(len(at)), float(np.log(share / (1 - share)))
     mean_w, mean_b, var_w, var_b = np.zeros(len(at)), 0.0, np.zeros(len(at)), 0.0
@@ -123,19 +112,41 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray) -> Model:
     return Model(at, w * ratio, b)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, and how many toxic and other documents of a slice hold it."""
+    for toxic, texts in slices(batches, ("toxic", "text"), "text"):
+        held = [features(t) for t in texts]
+        flat = np.concatenate(held)
+        of_toxic = np.repeat(np.array(toxic, bool), [len(h) for h in held])
+        found, inverse = np.unique(flat, return_inverse=True)
+        ones = np.bincount(inverse, weights=of_toxic, minlength=len(found)).astype(np.int64)
+        every = np.bincount(inverse, minlength=len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(ones), pa.array(every - ones)], names=["feature", "in_toxic", "in_other"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most sample labelled documents outside the held-out fold."""
+    """A model from at most sample labelled documents outside the held-out fold. Executors count features and choose those
+    that matter; the driver sees no more than these."""
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).dropna().where(~held_out())
-    chosen = hash_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", sample)
+    chosen = hash_sample(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "doc_id", sample)
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = cut(texts, "toxicity-sample")
+    ones, every = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    counts = texts.mapInArrow(_counts, "feature int, in_toxic bigint, in_other bigint").groupBy("feature").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
+    ratio = F.log((F.col("a") + 1) / (ones + 2)) - F.log((F.col("b") + 1) / (every - ones + 2))
+    kept = counts.where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).select("feature", ratio.alias("ratio")).where(F.abs("ratio") >= LEAST_RATIO).toPandas().sort_values("feature")
+    at = kept["feature"].to_numpy(np.int32)
+    at_of = docs.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        interest = np.zeros(1 << BITS, bool)
+        interest[at_of.value] = True
         for toxic, texts in slices(batches, ("toxic", "text"), "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([features(t).tobytes() for t in texts], pa.binary())], names=["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([features(t, interest).tobytes() for t in texts], pa.binary())], names=["toxic", "features"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     rows = texts.mapInArrow(run, "toxic int, features binary").collect()
     rows.sort(key=lambda r: (r.toxic, r.features))
-    return fit_rows([np.frombuffer(r.features, np.int32) for r in rows], np.array([int(r.toxic > 0) for r in rows]))
+    return train_rows([np.frombuffer(r.features, np.int32) for r in rows], np.array([r.toxic for r in rows]), at, kept["ratio"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
