@@ -59,10 +59,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: tuple[in
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {quoted(url)}"] * (url is not None) + [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
+    head += ([] if url is None else [f"WARC-Target-URI: {quoted(url)}"]) + ([] if page_id is None else [f"WARC-Page-ID: {page_id}"])
     if first:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(first[0], digest)}", f"WARC-Refers-To-Page-ID: {first[0]}", f"WARC-Refers-To-Date: {date}"]
-        head += [f"WARC-Refers-To-Target-URI: {quoted(first[1])}"] * (first[1] is not None)
+        head += [] if first[1] is None else [f"WARC-Refers-To-Target-URI: {quoted(first[1])}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
