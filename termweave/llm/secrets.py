@@ -33,7 +33,9 @@ LEAST_VALUE = 6
 MARKOV = "markov"
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_RUN = 20
-RATIO = 0.9
+RATIO = 1.2
+#: Weight, in pairs, of a character's own frequency.
+FALLBACK = 200
 DOCUMENT_SAMPLE = 2000
 RANDOM_SAMPLE = 20000
 FIRST, LAST = ord("+"), ord("z")
@@ -88,13 +90,16 @@ def pair_counts(tokens: DataFrame) -> dict[str, int]:
 
 
 def log_ratios(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary), smoothed by one, for characters a and b from FIRST to LAST."""
+    """log P(b | a, random) - log P(b | a, ordinary) for characters a and b from FIRST to LAST; each model falls back on
+    how often b occurs at all."""
 
     def conditional(counts: dict[str, int]) -> list[list[float]]:
-        rows = [[1.0 / 64] * WIDTH for _ in range(WIDTH)]
+        rows = [[0.0] * WIDTH for _ in range(WIDTH)]
         for pair, n in counts.items():
             rows[ord(pair[0]) - FIRST][ord(pair[1]) - FIRST] += n
-        return [[x / sum(row) for x in row] for row in rows]
+        alone = [sum(row[b] for row in rows) + 0.5 for b in range(WIDTH)]
+        share = [x / sum(alone) for x in alone]
+        return [[(x + FALLBACK * p) / (sum(row) + FALLBACK) for x, p in zip(row, share)] for row in rows]
 
     pairs = zip(conditional(random), conditional(ordinary))
     return [max(-6.0, min(6.0, math.log(r / o))) for a, b in pairs for r, o in zip(a, b)]
