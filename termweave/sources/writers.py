@@ -4,25 +4,24 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> int:
-    """Rows written, counted while they are: no second scan."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).partitionBy(*partition_by).parquet(path)
-    return seen.get["n"]
-
-
-def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
-    """A table with as many rows as were written, or an error."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format(fmt).mode(mode).saveAsTable(name)
-    written, there = seen.get["n"], df.sparkSession.table(name).count()
-    if mode == "overwrite" and written != there:
-        raise ValueError(f"{name}: {written} rows written, {there} there")
-    return written
+    """Rows that are there after the write, from the files' footers."""
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
+def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite", expected: int | None = None) -> int:
+    """Rows of the table after the write; raises if others than expected (default, when overwriting: those of df) are there."""
+    if expected is None and mode == "overwrite":
+        expected = df.count()
+    df.write.format(fmt).mode(mode).saveAsTable(name)
+    there = df.sparkSession.table(name).count()
+    if expected is not None and there != expected:
+        raise ValueError(f"{name}: {expected} rows expected, {there} there")
+    return there
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
