@@ -39,9 +39,10 @@ def term_dimension(df: DataFrame, core: Sequence[str] = K.CORE_TERMS, covid=K.PE
     )
 
 
-def term_features(df: DataFrame, year: str = "academic_year", term: str = "academic_term", **options) -> DataFrame:
-    """df with the features of its terms; rows without year or term go. The dimension is broadcast: it grows with years."""
-    dimension = term_dimension(df, year=year, term=term, **options)
+def term_features(df: DataFrame, year: str = "academic_year", term: str = "academic_term", calendar: DataFrame | None = None, **options) -> DataFrame:
+    """df with the features of its terms; rows without year or term go. The dimension is broadcast: it grows with years.
+    A calendar, a cheaper table of the same terms, spares a second pass over df."""
+    dimension = term_dimension(df if calendar is None else calendar, year=year, term=term, **options)
     return df.join(F.broadcast(dimension), [year, term])
 
 

@@ -15,11 +15,11 @@ _KEY = ["student_id", "term_id"]
 
 
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return courses.section_features(terms.term_features(courses.course_features(lens.courses(spark, sf_dir))))
+    return courses.section_features(terms.term_features(courses.course_features(lens.courses(spark, sf_dir)), calendar=lens.calendar(spark, sf_dir)))
 
 
 def student_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship.student_term_dataset(lens.cohorts(spark, sf_dir), lens.courses(spark, sf_dir), lens.DUMMIES, lens.EQUAL)
+    return flagship.student_term_dataset(lens.cohorts(spark, sf_dir), lens.courses(spark, sf_dir), lens.DUMMIES, lens.EQUAL, calendar=lens.calendar(spark, sf_dir))
 
 
 _AGG = """,

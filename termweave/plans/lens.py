@@ -55,6 +55,11 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of all orders; each has courses."""
+    return table(spark, sf_dir, "orders").select(_year("o_orderdate").alias("academic_year"), _term("o_orderdate").alias("academic_term")).distinct()
+
+
 def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a customer with orders: the student's cohort is the term of the first order."""
     first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first"))
