@@ -134,7 +134,7 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BIAS = f"""WITH {_SCORED}, g AS (SELECT split, segment subgroup, count(*) size, CAST(sum(target) AS BIGINT) positives, count(*) FILTER (actual AND NOT predicted) fn FROM x GROUP BY 1,2), f AS (SELECT *, coalesce(ln(1+fn)/nullif(ln(1+positives),0),0) fnr FROM g),
-  c AS (SELECT *, 'segment' "group", greatest(fnr-1.96*sqrt(fnr*(1-fnr)/positives),0) ci_low, least(fnr+1.96*sqrt(fnr*(1-fnr)/positives),1) ci_high FROM f)"""
+  c AS (SELECT *, 'segment' "group", greatest(fnr-1.96*coalesce(sqrt(fnr*(1-fnr)/nullif(positives,0)),0),0) ci_low, least(fnr+1.96*coalesce(sqrt(fnr*(1-fnr)/nullif(positives,0)),0),1) ci_high FROM f)"""
 
 
 @query(_BIAS + f" SELECT split, subgroup, size, positives, fn, \"group\", {r('fnr')} fnr, {r('ci_low')} ci_low, {r('ci_high')} ci_high FROM c")
