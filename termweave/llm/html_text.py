@@ -38,6 +38,8 @@ from .common import block_number, cut, slices
 
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LINES = 8
+#: Pages with lines to drop that are broadcast at most (and ten lines each); beyond, texts are shuffled to them.
+SMALL_PAGES = 100_000
 #: Bits of a comparison that are kept for backtracking; longer pages are halved first.
 LCS_BITS = 1 << 28
 
@@ -54,6 +56,7 @@ NOISE_WORDS = set("ad ads adv advert advertisement advertising adbox adsense spo
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_CLASSES = re.compile(r"\.[^>]*")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 #: What a line is: of an element that is never main text, outside of marked content, prose in it, or otherwise in it.
@@ -212,7 +215,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
             out = []
             for page_id, url, html in zip(*some):
                 lines = lines_of(html)
-                keys = [_hash(c, t) for c, t, _ in lines]
+                keys = [_hash(_CLASSES.sub("", c), t) for c, t, _ in lines]
                 digest = hashlib.blake2b(np.array(keys, np.int64).tobytes() + bytes(k for *_, k in lines), digest_size=16).digest()
                 out.append((row, page_id, url, *host_and_path(url), digest, keys, [_hash(c) for c, _, _ in lines], [k for *_, k in lines], [t for _, t, _ in lines]))
                 row += 1
@@ -246,7 +249,7 @@ def _neighbours(distinct: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_LINES) -> DataFrame:
-    """(page_id, url, text, n_lines, n_shared) of every row of pages(page_id, url, html)."""
+    """(page_id, url, text, n_lines, n_dropped) of every row of pages(page_id, url, html)."""
     parsed = _parsed(pages)
     first = parsed.groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("first")).select("host", "digest", "first.path", "first.row")
     distinct = cut(first, "pages-distinct")
@@ -266,26 +269,33 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     shared = both.mapInArrow(compare, "row bigint, shared array<int>").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))
     compared = cut(distinct.join(shared, "row").select("host", "digest", "row", "shared"), "pages-shared")
 
-    lines = compared.select("row", "host", "shared").join(parsed.select("row", "containers"), "row").select("host", "shared", F.posexplode("containers").alias("at", "container"))
+    shapes = compared.join(parsed.select("row", "containers", "kinds"), "row")
+    lines = shapes.select("host", "shared", F.posexplode("containers").alias("at", "container"))
     template = lines.groupBy("host", "container").agg(F.count("*").alias("n"), F.count(F.when(F.array_contains("shared", F.col("at")), 1)).alias("n_shared")).where((F.col("n") >= least) & (F.col("n_shared") >= share * F.col("n")))
     templates = template.groupBy("host").agg(F.collect_list("container").alias("template"))
 
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, ("page_id", "url", "keys", "containers", "kinds", "texts", "shared", "template"), "texts", 4096):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines to drop beyond those that markup drops, of the pages that have any."""
+        for batch in batches:
             out = []
-            for page_id, url, _, containers, kinds, texts, same, template in zip(*rows):
-                same, template = set(same or ()), set(template or ())
+            for host, page, same, containers, kinds, template in zip(*(c.to_pylist() for c in batch.columns)):
+                same, template = set(same), set(template or ())
                 marked = OUTSIDE in kinds or INSIDE_PROSE in kinds
-                left = [i for i, k in enumerate(kinds) if k == INSIDE_PROSE or k == INSIDE and containers[i] not in template and (marked or i not in same)]
-                if not left:  # every line is shared
-                    left = [i for i, k in enumerate(kinds) if k >= INSIDE_PROSE]
-                out.append((page_id, url, " ".join(texts[i] for i in left), len(kinds), len(same)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "url", "text", "n_lines", "n_shared"])
+                drop = [i for i, k in enumerate(kinds) if k == INSIDE and (containers[i] in template or not marked and i in same)]
+                if drop and len(drop) < sum(k >= INSIDE_PROSE for k in kinds):  # a page of shared lines alone keeps them
+                    out.append((host, page, drop))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.list_(pa.int32())))], names=["host", "digest", "drop"])
 
-    joined = parsed.join(compared.select("host", "digest", "shared"), ["host", "digest"], "left").join(templates, "host", "left")
-    return joined.select("page_id", "url", "keys", "containers", "kinds", "texts", "shared", "template").mapInArrow(text, "page_id bigint, url string, text string, n_lines bigint, n_shared bigint")
+    rows = shapes.join(templates, "host", "left").select("host", "digest", "shared", "containers", "kinds", "template")
+    drops = cut(rows.mapInArrow(choose, "host string, digest binary, drop array<int>"), "pages-drops")
+    n, lines_dropped = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
+    small = n <= SMALL_PAGES and lines_dropped <= 10 * SMALL_PAGES
+    joined = parsed.join(F.broadcast(drops) if small else drops.hint("merge"), ["host", "digest"], "left")
+    kept = F.filter(F.transform("texts", lambda t, i: F.when((F.get(F.col("kinds"), i) >= INSIDE_PROSE) & ~F.coalesce(F.array_contains("drop", i), F.lit(False)), t)), lambda t: t.isNotNull())
+    return joined.select("page_id", "url", F.array_join(kept, " ").alias("text"), F.size("kinds").cast("bigint").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of extract()."""
-    return result.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
+    return result.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_dropped")
