@@ -350,3 +350,13 @@ def test_png():
     data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert np.allclose(media.decode(data), pixels.mean(axis=2))
     assert media.decode(data[:20]) is None
+
+
+def test_empty_tables(spark):
+    none = clashing(spark, [])
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.deduplicate(none, 5).count() == 0
+    assert bpe.round_trip(none).count() == 0
+    assert secrets.mask(none).count() == 0
+    assert [tuple(r) for r in near_dedup.near_duplicates(clashing(spark, [(1, None), (2, "a")])).orderBy("doc_id").collect()] == [(1, 0, 1, True), (2, 1, 2, True)]
