@@ -38,7 +38,7 @@ from .common import block_number, cut, slices
 
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LINES = 8
-#: Pages with lines to drop that are broadcast at most (and ten lines each); beyond, texts are shuffled to them.
+#: Pages with lines to drop (and ten lines each), and template containers, that are broadcast at most; beyond, shuffles join them.
 SMALL_PAGES = 100_000
 #: Bits of a comparison that are kept for backtracking; longer pages are halved first.
 LCS_BITS = 1 << 28
@@ -272,7 +272,7 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     shapes = compared.join(parsed.select("row", "containers", "kinds"), "row")
     lines = shapes.select("host", "shared", F.posexplode("containers").alias("at", "container"))
     template = lines.groupBy("host", "container").agg(F.count("*").alias("n"), F.count(F.when(F.array_contains("shared", F.col("at")), 1)).alias("n_shared")).where((F.col("n") >= least) & (F.col("n_shared") >= share * F.col("n")))
-    templates = template.groupBy("host").agg(F.collect_list("container").alias("template"))
+    templates = cut(template.groupBy("host").agg(F.collect_list("container").alias("template")), "pages-templates")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines to drop beyond those that markup drops, of the pages that have any."""
@@ -287,7 +287,8 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.list_(pa.int32())))], names=["host", "digest", "drop"])
 
-    rows = shapes.join(templates, "host", "left").select("host", "digest", "shared", "containers", "kinds", "template")
+    few = templates.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0))).first()[0] <= SMALL_PAGES
+    rows = shapes.join(F.broadcast(templates) if few else templates, "host", "left").select("host", "digest", "shared", "containers", "kinds", "template")
     drops = cut(rows.mapInArrow(choose, "host string, digest binary, drop array<int>"), "pages-drops")
     n, lines_dropped = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
     small = n <= SMALL_PAGES and lines_dropped <= 10 * SMALL_PAGES
