@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, media, near_dedup, secrets, substring_dedup, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_text, media, near_dedup, oracles, secrets, substring_dedup, token_counts, toxicity, warc
 from .common import importable
 
 
@@ -56,4 +56,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_token_counts, op4_near_dedup, op5_secrets, op6_warc, op7_bpe, op8_decontamination, op9_substring_dedup, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
