@@ -34,11 +34,15 @@ TESTS = 128
 REACH = 9
 MARGIN = 14
 TABLES = 8
-FAR = 26
+FAR = 12
 LEAST_MATCHES = 4
 INLIERS = 5
 SIDE = 96
 EVERY = 100
+#: Descriptors of queries, with their table keys, that are broadcast at most (about 64 bytes each); beyond, tables are joined by shuffles.
+SMALL = 500_000
+#: Rows that a task renders and describes.
+TASK_ROWS = 1000
 
 _PATTERN = np.clip(np.random.default_rng(11).normal(0, REACH / 2, (TESTS, 2, 2)), -REACH, REACH)
 _POINT = "array<struct<x:float,y:float,scale:float,angle:float,d0:bigint,d1:bigint>>"
@@ -150,6 +154,9 @@ def describe(images: np.ndarray) -> list[list[tuple]]:
         px, py = _PATTERN[..., 0], _PATTERN[..., 1]
         qx, qy = np.rint(cos * px - sin * py).astype(int), np.rint(sin * px + cos * py).astype(int)
         picked = level[image[..., None], np.clip(y[..., None, None] + qy, 0, h - 1), np.clip(x[..., None, None] + qx, 0, w - 1)]
+        # the slope that gave the orientation would decide most tests alike; what is left of it does not
+        slope_x, slope_y = ((patch * d).sum(axis=2)[..., None, None] / (d * d).sum() for d in (dx, dy))
+        picked = picked - slope_x * qx - slope_y * qy
         words = np.packbits(picked[..., 0] < picked[..., 1], axis=2).view(np.int64)
         for i in range(len(images)):
             out[i] += [(float((x[i, j] + 0.5) / scale), float((y[i, j] + 0.5) / scale), 1 / scale, float(angle[i, j]), int(words[i, j, 0]), int(words[i, j, 1])) for j in np.flatnonzero(strong[i])]
@@ -207,7 +214,8 @@ def find_copies(media: DataFrame, every: int = EVERY, inliers: int = INLIERS) ->
     keyed = point.withColumn("key", F.explode(F.array(*(key(t) for t in range(TABLES)))))
     asked = cut(keyed.where("asked").drop("asked").toDF(*(f"q_{c}" for c in keyed.drop("asked").columns)), "media-queries")
     bits = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
-    met = keyed.join(asked, (F.col("key") == F.col("q_key")) & (F.col("class_id") != F.col("q_class_id")) & (bits <= FAR))
+    side = F.broadcast(asked) if asked.count() <= SMALL else asked
+    met = keyed.join(side, (F.col("key") == F.col("q_key")) & (F.col("class_id") != F.col("q_class_id")) & (bits <= FAR))
     fields = ["q_x", "q_y", "q_scale", "q_angle", "x", "y", "scale", "angle"]
     pairs = met.groupBy("q_class_id", "class_id").agg(F.collect_set(F.array(*fields)).alias("matches")).where(F.size("matches") >= LEAST_MATCHES)
 
@@ -226,14 +234,15 @@ def find_copies(media: DataFrame, every: int = EVERY, inliers: int = INLIERS) ->
     return joined.select("image_id", "class_id", "is_query", "n_points", matches.alias("matches"), F.when(F.col("is_query"), F.coalesce(F.size("matches"), F.lit(0))).alias("n_matches"))
 
 
-def _basis(size: int = 64, side: int = SIDE) -> np.ndarray:
-    random = np.random.default_rng(5)
-    out = np.empty((size, side * side), np.float32)
-    for k in range(size):
-        cell = (4, 6, 8, 12)[k % 4]
-        blocks = random.choice([-1.0, 1.0], (side // cell + 1, side // cell + 1))
-        out[k] = np.kron(blocks, np.ones((cell, cell)))[:side, :side].ravel()
-    return out
+def picture(vector: list | None, side: int = SIDE) -> np.ndarray:
+    """A picture drawn from a vector: random blocks of four sizes, seeded by its bytes. Equal vectors give equal pictures."""
+    data = np.array([0 if e is None else e for e in vector or ()], "<f4").tobytes()
+    random = np.random.default_rng(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little"))
+    out = np.full((side, side), 128.0)
+    for cell in (4, 6, 8, 12):
+        blocks = random.integers(-28, 29, (side // cell + 1, side // cell + 1))
+        out += np.kron(blocks, np.ones((cell, cell)))[:side, :side]
+    return np.clip(out, 0, 255)
 
 
 def edited(pixels: np.ndarray, how: int) -> np.ndarray:
@@ -248,23 +257,17 @@ def edited(pixels: np.ndarray, how: int) -> np.ndarray:
 def rendered(embeddings: DataFrame, every: int = EVERY) -> DataFrame:
     """A media table (image_id, image) of every row of embeddings(vec_id, embedding): a picture of the vector; of the rows
     after each query row, the first three are edited copies of that row's picture."""
+    spread = max(1, -(-embeddings.count() // TASK_ROWS))  # vectors are small and pictures are not
     rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
     how = F.when((F.col("vec_id") % every).between(1, 3), F.col("vec_id") % every).otherwise(0).cast("int")
     rows = rows.withColumn("how", how).withColumn("base", F.when(F.col("how") > 0, F.col("vec_id") - F.col("how")))
     bases = rows.where((F.col("vec_id") % every == 0)).groupBy(F.col("vec_id").alias("base")).agg(F.min("embedding").alias("of_base"))
-    rows = rows.join(bases, "base", "left").select("vec_id", F.coalesce("of_base", "embedding").alias("v"), F.when(F.col("of_base").isNotNull(), F.col("how")).otherwise(0).alias("how"))
+    rows = rows.join(bases, "base", "left").select("vec_id", F.coalesce("of_base", "embedding").alias("v"), F.when(F.col("of_base").isNotNull(), F.col("how")).otherwise(0).alias("how")).repartition(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = _basis()
         for batch in batches:
             ids, vectors, hows = (c.to_pylist() for c in batch.columns)
-            images = []
-            for v, how in zip(vectors, hows):
-                x = np.zeros(64, np.float32)
-                if v:
-                    x[: len(v)] = np.nan_to_num(np.array([0 if e is None else e for e in v], np.float32))[:64]
-                pixels = np.clip(128 + 45 * (x @ basis).reshape(SIDE, SIDE), 0, 255)
-                images.append(encode(edited(pixels, how) if how else pixels))
+            images = [encode(edited(picture(v), how) if how else picture(v)) for v, how in zip(vectors, hows)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
 
     return rows.mapInArrow(run, "image_id bigint, image binary")
