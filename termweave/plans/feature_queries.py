@@ -18,7 +18,18 @@ def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return courses.section_features(terms.term_features(courses.course_features(lens.courses(spark, sf_dir)), calendar=lens.calendar(spark, sf_dir)))
 
 
+_PLANNED: dict[tuple[str, str], DataFrame] = {}
+
+
 def student_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The student-term dataset; its plan, not its rows, is kept for the queries that start from it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANNED:
+        _PLANNED[key] = _student_term(spark, sf_dir)
+    return _PLANNED[key]
+
+
+def _student_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship.student_term_dataset(lens.cohorts(spark, sf_dir), lens.courses(spark, sf_dir), lens.DUMMIES, lens.EQUAL, calendar=lens.calendar(spark, sf_dir))
 
 
