@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import vocabularies
-from .common import MEMO, batch_slices, cut, slices
+from .common import batch_slices, cut, slices
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT = 1 << 15
+#: Words whose ids a process remembers, and distinct words that it counts before it hands the counts on.
+_MEMO = 400_000
 _FLUSH = 400_000
 
 
@@ -167,7 +169,7 @@ class Codec:
         ids = self.lexicon.get(word.encode()) if self.lexicon else None
         if ids is None:
             ids = self.merged(word)
-        if len(self.memo) >= MEMO // 2:
+        if len(self.memo) >= _MEMO:
             self.memo.clear()
         self.memo[word] = ids
         return ids

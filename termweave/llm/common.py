@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Odd multiplier of the polynomial window hashes.
 BASE = 0x9E3779B97F4A7C15
 #: Distinct words a worker remembers before it starts its memo anew.
-MEMO = 1_000_000
+MEMO = 200_000
 #: Documents that one step of a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
 
