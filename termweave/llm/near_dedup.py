@@ -10,9 +10,10 @@ first each member against the bucket's smallest class; then, in buckets that sti
 of the smaller ones against the most similar member of another component; last, all pairs of different components whose
 estimated similarity is high. Those estimates take SKETCH more coordinates, one bit of each, so that near misses around a
 large group are told from links without a verification: at similarity 0.8 their deviation is 0.0133, and the least
-estimates of the two rounds lie 3.75 and 2.25 of those below. Both look into half of the buckets, by key, of which a
-link at 0.8 shares none with probability 0.0004. A group loses a member only if the first round and both later ones fail
-for all links between them. Components come from alternating large-star and small-star steps, so hubs are never gathered either.
+estimate lies 5.2 of those below. Pairs whose set sizes alone rule a link out are no candidates. Both rounds look into all
+buckets; the last names a pair in the first bucket that it shares alone, told by 32 bits of each band key (two of 40 clash
+with probability 1e-8). A group loses a member only if the first round and both later ones fail for all links between them. Components
+come from alternating large-star and small-star steps, so hubs are never gathered either.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a null doc_id is linked with
 nothing (component_id null, kept); rows that repeat a doc_id take part one by one and share a component if their texts
@@ -39,7 +40,8 @@ COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 20
 #: Coordinates of the sketches for estimates, a multiple of 64.
 SKETCH = 2048
-LEAST = {"best": 0.75, "all": 0.77}
+#: Least estimates of the later rounds: 5.2 deviations below PERCENT.
+LEAST = {"best": 0.73, "all": 0.73}
 #: Bytes of sketches that one step of a comparison within a bucket touches.
 STEP_BYTES = 16 << 20
 #: Row numbers that are broadcast at most, to pick their texts without a shuffle.
@@ -166,19 +168,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _sketches(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(row, sketch) of some rows."""
+    """(row, n, sketch, places) of some rows: size of the set, sketch, and 32 bits of each band key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in slices(batches, ("row", "text"), "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array([sketch(shingles(t, size)) for t in text], pa.binary())], names=["row", "sketch"])
+            sets = [shingles(t, size) for t in text]
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array([bands(signature(h)).astype(np.uint32).tobytes() for h in sets], pa.binary())], names=["row", "n", "sketch", "places"])
 
-    return cut(texts.join(rows, "row", "left_semi").mapInArrow(run, "row bigint, sketch binary"), "near-sketches")
+    return cut(texts.join(rows, "row", "left_semi").mapInArrow(run, "row bigint, n bigint, sketch binary, places binary"), "near-sketches")
 
 
-def _across(rows: DataFrame, best: bool, least: float) -> DataFrame:
-    """Pairs of different components from rows(key, row, root, sketch): each member's best, or all that are alike enough."""
+def _across(rows: DataFrame, best: bool, least: float, percent: int) -> DataFrame:
+    """Pairs of different components from rows(key, row, root, n, sketch, places): each member's best, or all that are alike enough."""
 
-    def of_bucket(row: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_bucket(key: int, row: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
         small = np.flatnonzero(inverse != counts.argmax())
         step = max(1, STEP_BYTES // max(1, sketch.nbytes))
@@ -187,23 +190,30 @@ def _across(rows: DataFrame, best: bool, least: float) -> DataFrame:
             differ = np.bitwise_count(sketch[some][:, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
             alike = 1 - 2 * differ / SKETCH
             alike[inverse[some][:, None] == inverse[None, :]] = 0
+            alike[percent * np.maximum(n[some][:, None], n[None, :]) > 100 * np.minimum(n[some][:, None], n[None, :])] = 0
             if best:
                 to = alike.argmax(axis=1)
                 good = alike[np.arange(len(some)), to] >= least
                 yield row[some[good]], row[to[good]]
             else:
                 x, y = np.nonzero(alike >= least)
-                yield row[some[x]], row[y]
+                x = some[x]
+                once = (inverse[y] == counts.argmax()) | (row[x] < row[y])
+                x, y = x[once], y[once]
+                first = (places[x] == places[y]).argmax(axis=1)
+                here = places[x, first] == np.uint32(key & 0xFFFFFFFF)
+                yield row[x[here]], row[y[here]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            row, root = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+            row, root, n = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
             if len(set(root.tolist())) > 1:
-                sketch = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
-                for x, y in of_bucket(row, root, sketch):
+                sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+                places = np.frombuffer(b"".join(h[4] for h in held), np.uint32).reshape(len(held), -1)
+                for x, y in of_bucket(key, row, root, n, sketch, places):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -218,7 +228,7 @@ def _across(rows: DataFrame, best: bool, least: float) -> DataFrame:
             yield from pairs()
 
     ordered = rows.repartition(F.col("key")).sortWithinPartitions("key", "row")
-    return ordered.select("key", "row", "root", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.select("key", "row", "root", "n", "sketch", "places").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -235,14 +245,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     links = _verified(members.where("row != low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct(), texts, size, percent)
     roots = cut(components(links), "near-roots")
-    sketches, half = None, members.where("key % 2 = 0")
+    sketches = None
     for kind, least in LEAST.items():
-        placed = half.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
+        placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         rows = cut(placed.join(open_keys, "key", "left_semi"), "near-open")
         sketches = sketches or _sketches(rows.select("row").distinct(), texts, size)
         rows = rows.join(sketches, "row")
-        found = _verified(_across(rows, kind == "best", least), texts, size, percent)
+        found = _verified(_across(rows, kind == "best", least, percent), texts, size, percent)
         links = links.unionByName(found)
         if not found.isEmpty():
             roots = cut(components(links), "near-roots")

@@ -113,6 +113,20 @@ def test_near_duplicates_around_the_threshold(spark):
     assert got(near_dedup.near_duplicates(clashing(spark, rows))) == sorted(near_dedup.brute_force(rows), key=key)
 
 
+def test_near_duplicates_of_a_low_estimate(spark):
+    r = random.Random(2)
+    for seed in range(2000):
+        both = [f"c{seed}x{k}" for k in range(80)]
+        pair = [" ".join(both + [f"{side}{seed}x{k}" for k in range(10)]) for side in "ab"]
+        bits = [int.from_bytes(near_dedup.sketch(near_dedup.shingles(t, 1))) for t in pair]
+        if 1 - 2 * (bits[0] ^ bits[1]).bit_count() / near_dedup.SKETCH < 0.768:
+            break
+    # rows linked with neither start the buckets of the pair, and in each the most similar row is one of them
+    misses = [" ".join(r.sample(both, 69) + t.split()[80:] + [f"d{i}{n}x{k}" for k in range(11)]) for i in range(40) for n, t in enumerate(pair)]
+    out = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(clashing(spark, list(enumerate([*misses, *pair]))), 1).collect()}
+    assert out == {i: min(i, 80) for i in range(82)}
+
+
 def test_deduplicate_keeps_one(spark, awkward):
     docs = clashing(spark, awkward)
     kept = near_dedup.deduplicate(docs, 5)
