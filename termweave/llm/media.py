@@ -1,6 +1,6 @@
 """Copies in media columns by local image descriptors.
 
-Corners (Harris) on several scales get an orientation (intensity centroid) and 128 binary brightness tests that turn
+Corners (Harris) of every part of a picture, on several scales, get an orientation (intensity centroid) and 128 binary brightness tests that turn
 with it. Descriptors meet in TABLES hash tables of 16 bits each, a join that keeps pairs within FAR bits; image pairs
 with enough of them must agree on one similarity transform (shift, turn, scale), which finds cropped, turned, scaled and
 brightened copies.
@@ -29,18 +29,23 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCALES = (1.0, 0.75, 0.5)
-POINTS = 14
+#: Corners that are kept of each square of TILE pixels of every scale: their number grows with the area.
+POINTS = 3
+TILE = 16
 TESTS = 128
 REACH = 9
 MARGIN = 14
 TABLES = 8
-FAR = 12
+FAR = 16
 LEAST_MATCHES = 4
 INLIERS = 5
 SIDE = 96
 EVERY = 100
 #: Descriptors of queries, with their table keys, that are broadcast at most (about 64 bytes each); beyond, tables are joined by shuffles.
 SMALL = 500_000
+#: Corners that are described at a time, and pixels of pictures of one shape.
+STEP = 4096
+STEP_PIXELS = 1 << 21
 #: Rows that a task renders and describes.
 TASK_ROWS = 1000
 
@@ -141,25 +146,29 @@ def describe(images: np.ndarray) -> list[list[tuple]]:
         corner = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = corner[:, MARGIN : h - MARGIN, MARGIN : w - MARGIN]
         near = np.max([corner[:, MARGIN + a : h - MARGIN + a, MARGIN + b : w - MARGIN + b] for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2)], axis=0)
-        value = np.where((inner >= near) & (inner > 1.0), inner, 0).reshape(len(images), -1)
-        k = min(POINTS, value.shape[1])
-        at = np.argsort(-value, axis=1, kind="stable")[:, :k]
-        strong = np.take_along_axis(value, at, 1) > 0
-        y, x = at // inner.shape[2] + MARGIN, at % inner.shape[2] + MARGIN
-        image = np.arange(len(images))[:, None, None]
-        patch = level[image, y[..., None] + dy, x[..., None] + dx]
-        patch = patch - patch.mean(axis=2, keepdims=True)
-        angle = np.arctan2((patch * dy).sum(axis=2), (patch * dx).sum(axis=2))
-        cos, sin = np.cos(angle)[..., None, None], np.sin(angle)[..., None, None]
-        px, py = _PATTERN[..., 0], _PATTERN[..., 1]
-        qx, qy = np.rint(cos * px - sin * py).astype(int), np.rint(sin * px + cos * py).astype(int)
-        picked = level[image[..., None], np.clip(y[..., None, None] + qy, 0, h - 1), np.clip(x[..., None, None] + qx, 0, w - 1)]
-        # the slope that gave the orientation would decide most tests alike; what is left of it does not
-        slope_x, slope_y = ((patch * d).sum(axis=2)[..., None, None] / (d * d).sum() for d in (dx, dy))
-        picked = picked - slope_x * qx - slope_y * qy
-        words = np.packbits(picked[..., 0] < picked[..., 1], axis=2).view(np.int64)
-        for i in range(len(images)):
-            out[i] += [(float((x[i, j] + 0.5) / scale), float((y[i, j] + 0.5) / scale), 1 / scale, float(angle[i, j]), int(words[i, j, 0]), int(words[i, j, 1])) for j in np.flatnonzero(strong[i])]
+        value = np.where((inner >= near) & (inner > 1.0), inner, 0)
+        images_at, ys, xs = np.nonzero(value)
+        # the strongest of each tile, ties by place
+        tile = (images_at * (h // TILE + 1) + ys // TILE) * (w // TILE + 1) + xs // TILE
+        order = np.lexsort((xs, ys, -value[images_at, ys, xs], tile))
+        rank = np.arange(len(order)) - np.searchsorted(tile[order], tile[order])
+        chosen = np.sort(order[rank < POINTS])
+        for a in range(0, len(chosen), STEP):
+            some = chosen[a : a + STEP]
+            image, y, x = images_at[some], ys[some] + MARGIN, xs[some] + MARGIN
+            patch = level[image[:, None], y[:, None] + dy, x[:, None] + dx]
+            patch = patch - patch.mean(axis=1, keepdims=True)
+            angle = np.arctan2((patch * dy).sum(axis=1), (patch * dx).sum(axis=1))
+            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            px, py = _PATTERN[..., 0], _PATTERN[..., 1]
+            qx, qy = np.rint(cos * px - sin * py).astype(int), np.rint(sin * px + cos * py).astype(int)
+            picked = level[image[:, None, None], np.clip(y[:, None, None] + qy, 0, h - 1), np.clip(x[:, None, None] + qx, 0, w - 1)]
+            # the slope that gave the orientation would decide most tests alike; what is left of it does not
+            slope_x, slope_y = ((patch * d).sum(axis=1)[:, None, None] / (d * d).sum() for d in (dx, dy))
+            picked = picked - slope_x * qx - slope_y * qy
+            words = np.packbits(picked[..., 0] < picked[..., 1], axis=1).view(np.int64)
+            for j, i in enumerate(image.tolist()):
+                out[i].append((float((x[j] + 0.5) / scale), float((y[j] + 0.5) / scale), 1 / scale, float(angle[j]), int(words[j, 0]), int(words[j, 1])))
     return out
 
 
@@ -176,8 +185,10 @@ def _described(media: DataFrame) -> DataFrame:
                 points: list[list] = [[] for _ in ids]
                 for shape in {p.shape for p in images if p is not None}:
                     some = [i for i, p in enumerate(images) if p is not None and p.shape == shape]
-                    for i, found in zip(some, describe(np.stack([images[i] for i in some]))):
-                        points[i] = [dict(zip(names, f)) for f in found]
+                    step = max(1, STEP_PIXELS // max(1, shape[0] * shape[1]))
+                    for b in range(0, len(some), step):
+                        for i, found in zip(some[b : b + step], describe(np.stack([images[i] for i in some[b : b + step]]))):
+                            points[i] = [dict(zip(names, f)) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests), pa.array(points, kind)], names=["image_id", "digest", "points"])
 
     return cut(media.select(F.col("image_id").cast("bigint"), F.col("image").cast("binary")).mapInArrow(run, f"image_id bigint, digest string, points {_POINT}"), "media-points")

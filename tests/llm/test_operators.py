@@ -341,6 +341,18 @@ def test_media(spark):
     assert media.find_copies(spark.createDataFrame([], "image_id bigint, image binary")).count() == 0
 
 
+def test_media_of_small_crops_and_odd_scales(spark):
+    rows = []
+    for i in range(3):
+        large = media.picture([float(i)], 288)
+        rows += [(200 * i, media.encode(large)), (200 * i + 1, media.encode(large[90:162, 30:102]))]
+        small = media.picture([0.5 + i])
+        rows += [(200 * i + 100, media.encode(small)), (200 * i + 101, media.encode(media.resize(small[None], 1.2)[0])), (200 * i + 102, media.encode(media.resize(small[None], 0.9)[0]))]
+    out = {x.image_id: x.matches for x in media.find_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
+    for i in range(3):
+        assert out[200 * i] == [200 * i + 1] and out[200 * i + 100] == [200 * i + 101, 200 * i + 102]
+
+
 def test_png():
     import struct
     import zlib
