@@ -1,10 +1,11 @@
 """Secret scans with DataFrame functions only: fixed patterns, and character Markov models.
 
 Two first-order models over ASCII characters, one of random strings and one of ordinary identifiers, are fitted on
-labelled samples: RANDOM_SAMPLE generated random strings (hexadecimal, base64 and base32 of hashes), and the identifiers
+labelled samples: RANDOM_SAMPLE generated random strings (hexadecimal, base64, base32 and lower-case alphanumerics of hashes), and the identifiers
 of at most DOCUMENT_SAMPLE documents, those with the smallest hash of doc_id. What reaches the driver is the counts of
-character pairs, at most the square of the alphabet. A run of at least LEAST_RUN characters is a span of kind markov if
-its log-likelihood ratio exceeds RATIO per pair, and it does not touch a span of a fixed pattern.
+character pairs, at most the square of the alphabet. Runs of at least LEAST_RUN characters are looked for outside the spans
+of the fixed patterns. A run is a span of kind markov if its log-likelihood ratio exceeds RATIO per pair; else its windows
+of LEAST_RUN characters that exceed it are, joined and carried on to the next of / - _ on either side.
 
 Positions come from splitting a text at the matches: lengths of parts and matches add up to the starts (code points).
 
@@ -31,8 +32,8 @@ PATTERNS = {
 }
 LEAST_VALUE = 6
 MARKOV = "markov"
-RUN = r"[A-Za-z0-9+/_-]{20,}"
-LEAST_RUN = 20
+RUN = r"[A-Za-z0-9+/_-]{16,}"
+LEAST_RUN = 16
 RATIO = 1.2
 #: Weight, in pairs, of a character's own frequency.
 FALLBACK = 200
@@ -79,7 +80,10 @@ def identifiers(docs: DataFrame, documents: int = DOCUMENT_SAMPLE) -> DataFrame:
 def random_strings(docs: DataFrame, n: int = RANDOM_SAMPLE) -> DataFrame:
     """Labelled random: (token), generated."""
     ids = docs.sparkSession.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("h"), "id")
-    coded = F.when(F.col("id") % 4 == 0, F.col("h")).when(F.col("id") % 4 == 1, F.upper(F.substring("h", 1, 40))).otherwise(F.regexp_replace(F.base64(F.unhex("h")), "=", ""))
+    digits = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.substr(F.lit(alphabet), (F.conv(F.substr("h", i, F.lit(2)), 16, 10).cast("int") % len(alphabet)) + 1, F.lit(1))), "")
+    kind = F.col("id") % 6
+    coded = F.when(kind == 0, F.col("h")).when(kind == 1, F.upper(F.substring("h", 1, 40))).when(kind == 2, digits("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).when(kind == 3, digits("abcdefghijklmnopqrstuvwxyz0123456789"))
+    coded = coded.otherwise(F.regexp_replace(F.base64(F.unhex("h")), "=", ""))
     return ids.select(coded.alias("token"))
 
 
@@ -109,12 +113,41 @@ def train(docs: DataFrame, documents: int = DOCUMENT_SAMPLE, strings: int = RAND
     return log_ratios(pair_counts(random_strings(docs, strings)), pair_counts(identifiers(docs, documents)))
 
 
-def score(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per pair of a run's characters."""
+def scores(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of each pair of a run's characters."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
     code = lambda i: F.ascii(F.substr(token, i, F.lit(1))) - FIRST
-    total = F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i - 1) * WIDTH + code(i)))
-    return total / (F.length(token) - 1)
+    return F.transform(F.sequence(F.lit(2), F.length(token)), lambda i: F.get(table, code(i - 1) * WIDTH + code(i)))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (a, b) with those that overlap or touch as one."""
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (x["a"] <= F.get(acc, F.size(acc) - 1)["b"]),
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b")))),
+    ).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(spans, F.array().cast("array<struct<a:int,b:int>>"), step)
+
+
+def random_parts(token: Column, model: list[float]) -> Column:
+    """Spans (a, b) of a run that are random."""
+    pairs = LEAST_RUN - 1
+
+    def of_run(x: Column) -> Column:
+        n, plain = F.length(x["t"]), F.translate(x["t"], "-_", "//")
+        hits = F.filter(F.sequence(F.lit(0), F.size(x["s"]) - pairs), lambda i: _sum(F.slice(x["s"], i + 1, pairs)) > RATIO * pairs)
+        windows = _merged(F.transform(hits, lambda i: F.struct(i.alias("a"), (i + LEAST_RUN).alias("b"))))
+        before = lambda w: F.length(F.substring_index(F.substr(plain, F.lit(1), w["a"]), "/", -1))
+        after = lambda w: F.length(F.substring_index(F.substr(plain, w["b"] + 1, n), "/", 1))
+        carried = F.transform(windows, lambda w: F.struct((w["a"] - before(w)).alias("a"), (w["b"] + after(w)).alias("b")))
+        return F.when(_sum(x["s"]) > RATIO * F.size(x["s"]), F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))).otherwise(_merged(carried))
+
+    return F.get(F.transform(F.array(F.struct(token.alias("t"), scores(token, model).alias("s"))), of_run), F.lit(0))
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> DataFrame:
@@ -123,18 +156,20 @@ def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text")
     docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     docs = docs.withColumns({f"_{kind}": _spans(F.col("_text"), k, kind) for k, kind in enumerate(PATTERNS)})
     docs = docs.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{kind}") for kind in PATTERNS))))
-    docs = docs.withColumn("_runs", F.when(F.col("_text").rlike(RUN), F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))))
-    scored = F.transform("_runs", lambda t: score(t, model) > RATIO)
-    docs = docs.withColumn("_random", F.when(F.size("_runs") > 0, scored))
-    at = _starts(F.col("_text"), RUN, F.col("_runs"))
+    step = lambda acc, x: F.when(
+        x["end"] > acc["at"],
+        F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr("_text", acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), x["end"] - F.greatest(x["start"], acc["at"]))).alias("out")),
+    ).otherwise(acc)
+    blank = F.aggregate("_base", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("_text", acc["at"] + 1, F.length("_text"))))
+    docs = docs.withColumn("_rest", F.when(F.size("_base") > 0, blank).otherwise(F.col("_text")))
+    docs = docs.withColumn("_runs", F.when(F.col("_rest").rlike(RUN), F.regexp_extract_all("_rest", F.lit(RUN), F.lit(0))))
+    docs = docs.withColumn("_random", F.when(F.size("_runs") > 0, F.transform("_runs", lambda t: random_parts(t, model))))
+    at = _starts(F.col("_rest"), RUN, F.col("_runs"))
     order = len(PATTERNS)
-    found = F.transform(
-        F.filter(F.arrays_zip(at.alias("s"), F.col("_runs").alias("m"), F.col("_random").alias("r")), lambda x: x["r"]),
-        lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("order"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(MARKOV).alias("kind")),
-    )
-    docs = docs.withColumn("_markov", F.when(F.exists("_random", lambda r: r), found))
-    alone = F.filter("_markov", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return docs.withColumn("_spans", F.when(F.col("_markov").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", alone)))).drop("_runs", "_random", "_markov")
+    of_run = lambda x: F.transform(x["r"], lambda w: F.struct((x["s"] + w["a"]).alias("start"), F.lit(order).alias("order"), (x["s"] + w["b"]).alias("end"), F.lit(MARKOV).alias("kind")))
+    found = F.flatten(F.transform(F.arrays_zip(at.alias("s"), F.col("_random").alias("r")), of_run))
+    docs = docs.withColumn("_markov", F.when(F.exists("_random", lambda r: F.size(r) > 0), found))
+    return docs.withColumn("_spans", F.when(F.col("_markov").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_markov")))).drop("_rest", "_runs", "_random", "_markov")
 
 
 def joined(spans: str) -> Column:

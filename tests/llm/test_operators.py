@@ -215,6 +215,21 @@ def test_markov_models(spark):
     assert out[101] == "" and out[100] == f"markov:4:{4 + len(secret)}"
 
 
+def test_markov_parts_of_runs(spark):
+    ordinary = "the quick brown fox jumps over lazy dogs and internationalization_of_configuration_parameters com/services/integrations/administrative-responsibilities stays ordinary"
+    coded = base64.b64encode(hashlib.sha256(b"y").digest()).decode().translate({43: "a", 47: "b"})
+    low = base64.b32encode(hashlib.sha256(b"z").digest()).decode().lower()[:24]
+    texts = [f"see {coded[:16]} there", f"see com/services/integrations/{coded[:24]} there", f"see {low} there", f"see {'deadbeef' * 3}/{coded[:24]}"]
+    docs = clashing(spark, [(i, ordinary) for i in range(40)] + [(100 + i, t) for i, t in enumerate(texts)])
+    out = {r.doc_id: r.spans for r in secrets.report(docs, secrets.train(docs.where("doc_id < 100"))).collect()}
+    assert all(out[i] == "" for i in range(40))
+    spans = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in out[100 + i].split(",") if x)] for i in range(4)]
+    for text, found, secret in zip(texts, spans, (coded[:16], coded[:24], low, coded[:24])):
+        at = text.index(secret)
+        assert any(k == "markov" and a <= at and at + len(secret) <= b for k, a, b in found)
+    assert spans[3][0] == ("hex", 4, 28)
+
+
 def test_mask(spark):
     rows = [(1, 'é token="abcdef123456" x deadbeefdeadbeefdeadbeefdead'), (2, "clean"), (3, None), (4, "secret=" + "0123456789abcdef" * 2)]
     docs = clashing(spark, rows)
