@@ -12,9 +12,7 @@ from termweave.functions import constants as K
 
 from . import duplicates
 
-LARGE = 500_000
-EVALUATIONS, EVALUATIONS_LARGE = 3000, 500
-SAMPLE = 100_000
+EVALUATIONS = 3000
 
 
 def profile(df: DataFrame, tokens: Sequence[str] = K.NULL_TOKENS) -> DataFrame:
@@ -60,20 +58,17 @@ def uniqueness_scores(df: DataFrame, keys: Sequence[Sequence[str]], approximate:
 
 def candidate_keys(df: DataFrame, columns: Sequence[str], most: int = 3, least: float = 0.98, batch: int = 16) -> list[tuple[tuple[str, ...], float]]:
     """Keys of up to most columns that are that unique, none holding a smaller one, best first. Many combinations are
-    counted by each pass; large tables get fewer, over a hash sample of rows."""
-    n = df.count()
-    limit = EVALUATIONS_LARGE if n > LARGE else EVALUATIONS
-    rows = df.where(F.pmod(F.xxhash64(*columns), F.lit(n)) < SAMPLE) if n > LARGE else df
+    counted by each pass, over all rows whatever their number."""
     found: list[tuple[tuple[str, ...], float]] = []
     done = 0
     for size in range(1, most + 1):
         pool = [c for c in combinations(columns, size) if not any(set(k) <= set(c) for k, _ in found)]
         for a in range(0, len(pool), batch):
-            some = pool[a : a + batch][: max(0, limit - done)]
+            some = pool[a : a + batch][: max(0, EVALUATIONS - done)]
             if not some:
                 break
             done += len(some)
-            scores = {r.key: r.uniqueness for r in uniqueness_scores(rows, some).collect()}
+            scores = {r.key: r.uniqueness for r in uniqueness_scores(df, some).collect()}
             found += [(c, scores["+".join(c)]) for c in some if scores["+".join(c)] >= least]
     return sorted(found, key=lambda x: (len(x[0]), -x[1], x[0]))
 

@@ -137,6 +137,11 @@ def test_control(spark):
     assert rows(eda.crosstab(spark.range(4).select((F.col("id") % 2).alias("a"), F.lit("x").alias("b")), "a", "b"))[-1] == ("All", "x", 4)
 
 
+def test_candidate_keys_of_a_large_table(spark):
+    twice = spark.range(600_000).select(F.expr("id div 2").alias("a"), (F.col("id") % 2).alias("b"))
+    assert profiling.candidate_keys(twice, ["a", "b"], 2, 0.9) == [(("a", "b"), 1.0)]
+
+
 def test_sources(spark, tmp_path):
     cohort = synthetic.cohorts(spark, 50)
     path = str(tmp_path / "cohort.parquet")
