@@ -3,17 +3,16 @@
 A document's set: the distinct SHINGLE-word shingles of its text (A-Z lower-cased; with fewer words the whole sequence is
 one shingle). Documents with equal sets are one class. One permutation scatters shingles over UNIVERSE slots; a second
 one, shifted circularly by k, gives signature coordinate k as its minimum over the set, so COORDINATES of them need two
-permutations. BANDS of ROWS coordinates each put classes into buckets.
-
-Links (100 * intersection >= 80 * union, on whole sets) are sought in rounds, none of which emits all pairs of a bucket:
-first each member against the bucket's smallest class; then, in buckets that still span several components, each member
-of the smaller ones against the most similar member of another component; last, all pairs of different components whose
-estimated similarity is high. Those estimates take SKETCH more coordinates, one bit of each, so that near misses around a
-large group are told from links without a verification: at similarity 0.8 their deviation is 0.0133, and the least
-estimate lies 5.2 of those below. Pairs whose set sizes alone rule a link out are no candidates. Both rounds look into all
-buckets; the last names a pair in the first bucket that it shares alone, told by 32 bits of each band key (two of 40 clash
-with probability 1e-8). A group loses a member only if the first round and both later ones fail for all links between them. Components
-come from alternating large-star and small-star steps, so hubs are never gathered either.
+permutations. BANDS of ROWS coordinates each put classes into buckets; every bucket with two classes is looked at.
+
+No step emits all pairs of a group. Within a bucket, classes that may be linked (100 * intersection >= 80 * union) are
+joined by a spanning forest. Two may be linked unless their parity sketches rule it out: a shingle flips one bit of a
+sketch, so the bits in which two sketches differ are never more than the shingles that the sets do not share, and a pair
+that is dropped is certainly no link. The components of those forests are units; every pair of a bucket that is a link
+lies within one unit. Each unit's whole sets are compared exactly, and a spanning forest of its links leaves the task.
+Buckets and units above a size in bytes are dealt out as pairs of blocks, so that none is held by one task as a whole.
+What is lost is a link whose sets share no bucket: probability 1.2e-7 at similarity 0.8, less above. Components come from
+alternating large-star and small-star steps, so hubs are never gathered either.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a null doc_id is linked with
 nothing (component_id null, kept); rows that repeat a doc_id take part one by one and share a component if their texts
@@ -23,14 +22,15 @@ are linked; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, block_number, cut, mix, slices
+from .common import MEMO, WordHash, cut, mix, slices
 
 SHINGLE = 2
 PERCENT = 80
@@ -38,14 +38,16 @@ BANDS = 40
 ROWS = 5
 COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 20
-#: Coordinates of the sketches for estimates, a multiple of 64.
-SKETCH = 2048
-#: Least estimates of the later rounds: 5.2 deviations below PERCENT.
-LEAST = {"best": 0.73, "all": 0.73}
-#: Bytes of sketches that one step of a comparison within a bucket touches.
-STEP_BYTES = 16 << 20
+#: Bits of a parity sketch: at least this many a shingle, as a power of two between least and most.
+SKETCH_BITS = (4, 512, 1 << 18)
+#: What one task compares at a time: bytes of a bucket's sketches, shingles of a unit (each set counts OVERHEAD more).
+BUCKET_BYTES = 4 << 20
+UNIT_SHINGLES = 2 << 20
+OVERHEAD = 512
 #: Row numbers that are broadcast at most, to pick their texts without a shuffle.
 SMALL_ROWS = 1_000_000
+#: Rows of a class from which on it may be joined by broadcast, and how many such classes there are at most.
+HOT_ROWS, HOT_CLASSES = 10_000, 100_000
 
 _WORDS = WordHash()
 _TABLES: list[np.ndarray] = []
@@ -57,7 +59,7 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
         random = np.random.default_rng(20)
         scatter = random.permutation(UNIVERSE).astype(np.uint32)
         circle = random.permutation(UNIVERSE).astype(np.uint32)
-        _TABLES.extend([scatter, np.concatenate([circle, circle[: COORDINATES + SKETCH]])])
+        _TABLES.extend([scatter, np.concatenate([circle, circle[:COORDINATES]])])
     return _TABLES[0], _TABLES[1]
 
 
@@ -74,21 +76,69 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(hashes: np.ndarray, first: int = 0, n: int = COORDINATES) -> np.ndarray:
-    """Minima over the set of n shifts of the second permutation, from shift first on."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Minima over the set of the second permutation's shifts."""
     scatter, circle = permutations()
-    shifted = np.lib.stride_tricks.sliding_window_view(circle[first : first + UNIVERSE + n], n)
+    shifted = np.lib.stride_tricks.sliding_window_view(circle, COORDINATES)
     slots = scatter[(hashes % np.uint64(UNIVERSE)).astype(np.int64)]
-    low = np.full(n, UNIVERSE, np.uint32)
-    step = max(1, 51200 // n)
-    for a in range(0, len(slots), step):
-        np.minimum(low, shifted[slots[a : a + step]].min(axis=0), out=low)
+    low = np.full(COORDINATES, UNIVERSE, np.uint32)
+    for a in range(0, len(slots), 256):
+        np.minimum(low, shifted[slots[a : a + 256]].min(axis=0), out=low)
     return low
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One bit of each of SKETCH further coordinates."""
-    return np.packbits((mix(signature(hashes, COORDINATES, SKETCH).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as 64-bit words."""
+    each, least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (each * len(hashes) - 1).bit_length()))
+    flips = np.bincount(((hashes >> np.uint64(24)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of that many words, of the same sets: halves are added without carry."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def spanning(n: np.ndarray, sketches: list[np.ndarray], percent: int, linked: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the pairs that sizes and sketches do not rule out and linked(i, js) confirms.
+
+    Each tree grows breadth-first: a set is compared only with those that no tree has reached yet.
+    """
+    words = np.array([len(x) for x in sketches])
+    kinds = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+    stacked = {w: np.stack([sketches[i] for i in at]) for w, at in kinds.items()}
+    place = np.empty(len(n), np.int64)
+    for at in kinds.values():
+        place[at] = np.arange(len(at))
+    left = np.argsort(n, kind="stable")
+    while len(left) > 1:
+        queue, left = deque([left[0]]), left[1:]
+        while queue and len(left):
+            i = queue.popleft()
+            sizes = n[left]
+            low, high = np.searchsorted(sizes, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+            near = left[low:high]
+            if not len(near):
+                continue
+            keep = np.zeros(len(near), bool)
+            for w in np.unique(words[near]).tolist() if len(kinds) > 1 else kinds:
+                some = np.flatnonzero(words[near] == w)
+                at = near[some]
+                least = min(w, words[i])
+                differ = np.bitwise_count(folded(stacked[w][place[at]], least) ^ folded(sketches[i], least)).sum(axis=1, dtype=np.int64)
+                keep[some] = differ * (100 + percent) <= (100 - percent) * (n[i] + n[at])
+            if linked and keep.any():
+                some = np.flatnonzero(keep)
+                keep[some] = linked(i, near[some])
+            if keep.any():
+                found = near[keep]
+                yield from ((int(i), int(j)) for j in found)
+                queue.extend(found)
+                left = np.concatenate([left[:low], near[~keep], left[high:]])
 
 
 def bands(low: np.ndarray) -> np.ndarray:
@@ -101,27 +151,22 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """row, doc_id, n_shingles, key of the set, band keys, and the text."""
+    """row, id, n, key of the set, band keys, parity sketch, and the text, of docs(row, id, text)."""
+    names = ["row", "id", "n", "set_key", "bands", "sketch", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = block_number()
-        for ids, texts in slices(batches, ("doc_id", "text"), "text"):
+        for rows, ids, texts in slices(batches, ("row", "id", "text"), "text"):
             out = []
             for text in texts:
                 h = shingles(text, size)
                 if len(h):
-                    out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), bands(signature(h)).view(np.int64)))
+                    out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), bands(signature(h)).view(np.int64), parity(h).tobytes()))
                 else:
-                    out.append((0, None, None))
-            n, keys, band_keys = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(texts, pa.string())],
-                names=["row", "doc_id", "n_shingles", "set_key", "bands", "text"],
-            )
-            row += len(ids)
+                    out.append((0, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, ids, *zip(*out), texts), kinds)], names=names)
 
-    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return cut(plain.mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, text string"), "near-signatures")
+    return cut(docs.select("row", "id", "text").mapInArrow(run, "row bigint, id bigint, n bigint, set_key binary, bands array<bigint>, sketch binary, text string"), "near-signatures")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -142,138 +187,138 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose whole sets are linked."""
+def _dealt(members: DataFrame, group: str, weight: Column, most: int) -> DataFrame:
+    """members with part: groups heavier than most are split into blocks, and each pair of blocks is a part."""
+    blocks = members.groupBy(group).agg(F.sum(weight).alias("weight")).where(F.col("weight") > most).select(group, F.ceil(F.col("weight") / most).cast("int").alias("blocks"))
+    split = members.join(blocks, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("row"), "blocks").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != block)
+    pairs = F.transform(others, lambda j: F.least(block, j).cast("bigint") * F.col("blocks") + F.greatest(block, j))
+    parts = F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.lit(0).cast("bigint")))
+    return split.withColumn("part", F.explode(parts)).drop("blocks")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (group, part), which are the first two columns of sorted batches; without those two."""
+    held, key = [], None
+    for batch in batches:
+        for group, part, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (group, part) != key:
+                if len(held) > 1:
+                    yield held
+                key, held = (group, part), []
+            held.append(tuple(rest))
+    if len(held) > 1:
+        yield held
+
+
+class _Forest(dict):
+    """Union-find over the rows that a task has seen, forgotten above MEMO rows."""
+
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = self[up]
+            x = self[x]
+        return x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, None
-        for a, b, text_a, text_b in slices(batches, ("a", "b", "text_a", "text_b"), "text_b"):
-            linked = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, of_last = a[i], shingles(text_a[i], size)
-                other = shingles(text_b[i], size)
-                if percent * max(len(of_last), len(other)) > 100 * min(len(of_last), len(other)):
-                    continue
-                both = len(np.intersect1d(of_last, other, assume_unique=True))
-                if 100 * both >= percent * (len(of_last) + len(other) - both):
-                    linked.append((a[i], b[i]))
-            if linked:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked)], names=["a", "b"])
-
-    # always by sorted shuffles: pairs grow with the corpus, and a plan that is one thing when small is another when large
-    with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "near-links")
-
-
-def _sketches(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(row, n, sketch, places) of some rows: size of the set, sketch, and 32 bits of each band key."""
+    def joins(self, a: int, b: int) -> bool:
+        """Whether a and b were apart so far."""
+        if len(self) > MEMO:
+            self.clear()
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of what may be linked, of each bucket in rows(key, part, row, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, text in slices(batches, ("row", "text"), "text"):
-            sets = [shingles(t, size) for t in text]
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array([bands(signature(h)).astype(np.uint32).tobytes() for h in sets], pa.binary())], names=["row", "n", "sketch", "places"])
-
-    return cut(texts.join(rows, "row", "left_semi").mapInArrow(run, "row bigint, n bigint, sketch binary, places binary"), "near-sketches")
-
-
-def _across(rows: DataFrame, best: bool, least: float, percent: int) -> DataFrame:
-    """Pairs of different components from rows(key, row, root, n, sketch, places): each member's best, or all that are alike enough."""
-
-    def of_bucket(key: int, row: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
-        small = np.flatnonzero(inverse != counts.argmax())
-        step = max(1, STEP_BYTES // max(1, sketch.nbytes))
-        for a in range(0, len(small), step):
-            some = small[a : a + step]
-            differ = np.bitwise_count(sketch[some][:, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
-            alike = 1 - 2 * differ / SKETCH
-            alike[inverse[some][:, None] == inverse[None, :]] = 0
-            alike[percent * np.maximum(n[some][:, None], n[None, :]) > 100 * np.minimum(n[some][:, None], n[None, :])] = 0
-            if best:
-                to = alike.argmax(axis=1)
-                good = alike[np.arange(len(some)), to] >= least
-                yield row[some[good]], row[to[good]]
-            else:
-                x, y = np.nonzero(alike >= least)
-                x = some[x]
-                once = (inverse[y] == counts.argmax()) | (row[x] < row[y])
-                x, y = x[once], y[once]
-                first = (places[x] == places[y]).argmax(axis=1)
-                here = places[x, first] == np.uint32(key & 0xFFFFFFFF)
-                yield row[x[here]], row[y[here]]
+        seen = _Forest()
+        for held in _groups(batches):
+            row, n, sketch = zip(*held)
+            pairs = [(row[i], row[j]) for i, j in spanning(np.array(n), [np.frombuffer(x, np.uint64) for x in sketch], percent) if seen.joins(row[i], row[j])]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+    ordered = rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "row")
+    return ordered.select("key", "part", "row", "n", "sketch").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b), as structs of id and row: forests of the links of each unit in rows(unit, part, row, id, text), by whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            row, root, n = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
-            if len(set(root.tolist())) > 1:
-                sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
-                places = np.frombuffer(b"".join(h[4] for h in held), np.uint32).reshape(len(held), -1)
-                for x, y in of_bucket(key, row, root, n, sketch, places):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        for batch in batches:
-            for k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    if held:
-                        yield from pairs()
-                    key, held = k, []
-                held.append(tuple(rest))
-        if held:
-            yield from pairs()
-
-    ordered = rows.repartition(F.col("key")).sortWithinPartitions("key", "row")
-    return ordered.select("key", "row", "root", "n", "sketch", "places").mapInArrow(run, "a bigint, b bigint").distinct()
+        seen = _Forest()
+        for held in _groups(batches):
+            sets = [shingles(text, size) for *_, text in held]
+            n = np.array([len(h) for h in sets])
+            _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            members = np.split(inverse.astype(np.int32), np.cumsum(n)[:-1])
+            mark = np.zeros(int(inverse.max()) + 1, bool)
+
+            def linked(i: int, js: np.ndarray) -> np.ndarray:
+                mark[members[i]] = True
+                both = np.array([np.count_nonzero(mark[members[j]]) for j in js])
+                mark[members[i]] = False
+                return 100 * both >= percent * (n[i] + n[js] - both)
+
+            pairs = [held[i][:2] + held[j][:2] for i, j in spanning(n, [parity(h) for h in sets], percent, linked) if seen.joins(held[i][0], held[j][0])]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "id_a", "b", "id_b"])
+
+    ordered = rows.repartition(F.col("unit"), F.col("part")).sortWithinPartitions("unit", "part", "row")
+    found = ordered.select("unit", "part", "row", "id", "text").mapInArrow(run, "a bigint, id_a bigint, b bigint, id_b bigint")
+    return found.select(F.struct(F.col("id_a").alias("id"), F.col("a").alias("row")).alias("a"), F.struct(F.col("id_b").alias("id"), F.col("b").alias("row")).alias("b"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(row, id, n, root) of docs(row, id, text): root is the smallest (id, row) of the component, null without one."""
+    signed = _signatures(docs, size)
+    node = F.struct("id", "row")
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min(node).alias("node"), F.count("*").alias("n_rows"))
+    classes = cut(classes, "near-classes")
+    keyed = signed.where("n > 0").select("row", "n", "bands").join(classes.select(F.col("node.row").alias("row")), "row", "left_semi").select("row", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key")
+    members = cut(keyed.join(shared, "key"), "near-buckets")
+    # buckets of the same classes are looked at once
+    content = members.groupBy("key").agg(F.struct(F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1))), F.count("*")).alias("content"))
+    once = content.groupBy("content").agg(F.min("key").alias("key")).select("key")
+    sketches = signed.select("row", "id", "sketch", "text")
+    rows = cut(members.select("row").distinct(), "near-rows")
+    sketches = cut(sketches.join(F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows, "row", "left_semi"), "near-texts")
+    dealt = _dealt(members.join(once, "key", "left_semi"), "key", F.col("n") / 2 + OVERHEAD, BUCKET_BYTES)
+    candidates = cut(_candidates(dealt.join(sketches.select("row", "sketch"), "row"), percent), "near-candidates")
+
+    units = components(candidates).select(F.col("node").alias("row"), F.col("root").alias("unit"))
+    of_unit = _dealt(units.join(signed.select("row", "n"), "row"), "unit", F.col("n") + OVERHEAD, UNIT_SHINGLES)
+    links = cut(_links(of_unit.join(sketches.select("row", "id", "text"), "row"), size, percent), "near-links")
+    roots = components(links)
+
+    of_set = classes.join(roots, "node", "left").select("set_key", "n_rows", "node", F.coalesce("root", "node").alias("root"))
+    of_set = cut(of_set.where("n_rows > 1 OR root != node").drop("node"), "near-sets")
+    placed = signed.select("row", "id", "n", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key"))
+    # classes of many rows are few, whatever the corpus: those join by broadcast, so that no task holds all rows of one
+    hot = of_set.where(F.col("n_rows") > max(HOT_ROWS, signed.count() // HOT_CLASSES)).select("set_key", F.col("root").alias("hot_root"))
+    placed = placed.join(F.broadcast(hot), "set_key", "left")
+    rest = F.col("hot_root").isNull() & F.col("set_key").isNotNull()
+    joined = placed.where(rest).join(of_set.select("set_key", "root"), "set_key", "left")
+    return joined.select("row", "id", "n", "root").unionByName(placed.where(~rest).select("row", "id", "n", F.col("hot_root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
-    signed = _signatures(docs, size)
-    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("row")), "near-classes")
-    of_class = signed.where("n_shingles > 0").select("row", "bands").join(classes.select("row"), "row", "left_semi")
-    keyed = of_class.select("row", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key", "low")
-    members = cut(keyed.join(shared, "key").select("key", "low", "row"), "near-buckets")
-    # texts of classes that share a bucket with another: verifications shuffle these and not the whole corpus
-    rows = cut(members.select("row").distinct(), "near-rows")
-    texts = cut(signed.select("row", "text").join(F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows, "row", "left_semi"), "near-texts")
-
-    links = _verified(members.where("row != low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct(), texts, size, percent)
-    roots = cut(components(links), "near-roots")
-    sketches = None
-    for kind, least in LEAST.items():
-        placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rows = cut(placed.join(open_keys, "key", "left_semi"), "near-open")
-        sketches = sketches or _sketches(rows.select("row").distinct(), texts, size)
-        rows = rows.join(sketches, "row")
-        found = _verified(_across(rows, kind == "best", least, percent), texts, size, percent)
-        links = links.unionByName(found)
-        if not found.isEmpty():
-            roots = cut(components(links), "near-roots")
-
-    of_set = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("set_key", F.coalesce("root", "row").alias("root"))
-    placed = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left").select("doc_id", "n_shingles", "root")
-    placed = cut(placed, "near-placed")
-    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = placed.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    found = _grouped(plain, size, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root.id", "id").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id, null ones last, ties by row."""
+    """docs with one row of each group: the one with the smallest doc_id, ties by row; ids that are no integers or null come last."""
     numbered = cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "near-numbered")
-    grouped = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), size, percent)
-    ids = numbered.select("_row", F.col("_doc.doc_id").alias("id"))
-    order = F.struct(F.col("id").isNull(), "id", "_row")
-    lost = grouped.withColumnRenamed("doc_id", "_row").join(ids, "_row").withColumn("order", order)
-    first = lost.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
-    dropped = lost.join(first, "component_id").where("order != first").select("_row")
+    last = F.lit((1 << 63) - 1)
+    plain = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col("_doc.doc_id").try_cast("bigint"), last).alias("id"), F.col("_doc.text").cast("string").alias("text"))
+    dropped = _grouped(plain, size, percent).where("root.row != row").select(F.col("row").alias("_row"))
     return numbered.join(dropped, "_row", "left_anti").select("_doc.*")
 
 

@@ -113,18 +113,50 @@ def test_near_duplicates_around_the_threshold(spark):
     assert got(near_dedup.near_duplicates(clashing(spark, rows))) == sorted(near_dedup.brute_force(rows), key=key)
 
 
-def test_near_duplicates_of_a_low_estimate(spark):
-    r = random.Random(2)
-    for seed in range(2000):
-        both = [f"c{seed}x{k}" for k in range(80)]
-        pair = [" ".join(both + [f"{side}{seed}x{k}" for k in range(10)]) for side in "ab"]
-        bits = [int.from_bytes(near_dedup.sketch(near_dedup.shingles(t, 1))) for t in pair]
-        if 1 - 2 * (bits[0] ^ bits[1]).bit_count() / near_dedup.SKETCH < 0.768:
-            break
-    # rows linked with neither start the buckets of the pair, and in each the most similar row is one of them
-    misses = [" ".join(r.sample(both, 69) + t.split()[80:] + [f"d{i}{n}x{k}" for k in range(11)]) for i in range(40) for n, t in enumerate(pair)]
-    out = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(clashing(spark, list(enumerate([*misses, *pair]))), 1).collect()}
-    assert out == {i: min(i, 80) for i in range(82)}
+def near_misses(seed, groups, members, edits, length=80):
+    """Groups of edited copies of one base each, most of them near misses of each other."""
+    r, rows = random.Random(seed), []
+    for g in range(groups):
+        base = words(seed * 1000 + g, length, 10**6)
+        for k in range(members):
+            copy = list(base)
+            for at in r.sample(range(length), r.choice(edits)):
+                copy[at] = f"z{r.randrange(10**6)}"
+            rows.append((g * 1000 + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"BUCKET_BYTES": 2500, "UNIT_SHINGLES": 4000, "SMALL_ROWS": 0, "HOT_ROWS": 1}])
+def test_near_duplicates_in_groups_of_near_misses(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = near_misses(3, 3, 60, [2, 3, 4, 5]) + [(9000 + i, t) for i, (_, t) in enumerate(near_misses(3, 1, 9, [2]) * 3)]
+    assert got(near_dedup.near_duplicates(clashing(spark, rows))) == sorted(near_dedup.brute_force(rows), key=key)
+
+
+def test_parity_sketches_rule_out_no_link():
+    r = np.random.default_rng(4)
+    for n in (1, 30, 130, 300, 2000, 40000):
+        a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+        for share in (0.0, 0.05, 0.11, 0.3):
+            b = np.unique(np.concatenate([a[: max(1, int(len(a) * (1 - share)))], r.integers(0, 1 << 63, int(len(a) * share), np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            x, y = near_dedup.parity(a), near_dedup.parity(b)
+            for size in {min(len(x), len(y)), 8}:
+                assert np.bitwise_count(near_dedup.folded(x, size) ^ near_dedup.folded(y, size)).sum() <= apart
+            linked = 180 * apart <= 20 * (len(a) + len(b))
+            assert not linked or list(near_dedup.spanning(np.array([len(a), len(b)]), [x, y], 80))
+
+
+def test_spanning_forests_hold_every_pair():
+    r = random.Random(5)
+    sets = [near_dedup.shingles(t) for _, t in near_misses(5, 2, 50, [1, 3, 5]) + near_misses(6, 1, 30, [2], 700)]
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    r.shuffle(sets)
+    forest = list(near_dedup.spanning(np.array([len(s) for s in sets]), [near_dedup.parity(s) for s in sets], 80, lambda i, js: np.array([alike(i, j) for j in js])))
+    tree, count = near_dedup._Forest(), sum(alike(i, j) for i in range(len(sets)) for j in range(i))
+    assert all(alike(i, j) and tree.joins(i, j) for i, j in forest) and len(forest) < len(sets) < count
+    assert all(tree.root(i) == tree.root(j) for i in range(len(sets)) for j in range(i) if alike(i, j))
 
 
 def test_deduplicate_keeps_one(spark, awkward):
