@@ -5,6 +5,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -243,7 +244,7 @@ def test_markov_models(spark):
     ordinary = "the quick brown fox jumps over lazy dogs and internationalization_of_configuration_parameters stays ordinary while administrative-responsibilities grow"
     secret = base64.b64encode(hashlib.sha256(b"x").digest()).decode().rstrip("=")
     docs = clashing(spark, [(i, ordinary) for i in range(40)] + [(100, f"see {secret} there"), (101, ordinary)])
-    out = {r.doc_id: r.spans for r in secrets.report(docs, secrets.train(docs.where("doc_id != 100"))).collect()}
+    out = {r.doc_id: r.spans for r in secrets.report(docs, secrets.train(secrets.samples(docs.where("doc_id != 100")))).collect()}
     assert out[101] == "" and out[100] == f"markov:4:{4 + len(secret)}"
 
 
@@ -253,7 +254,7 @@ def test_markov_parts_of_runs(spark):
     low = base64.b32encode(hashlib.sha256(b"z").digest()).decode().lower()[:24]
     texts = [f"see {coded[:16]} there", f"see com/services/integrations/{coded[:24]} there", f"see {low} there", f"see {'deadbeef' * 3}/{coded[:24]}"]
     docs = clashing(spark, [(i, ordinary) for i in range(40)] + [(100 + i, t) for i, t in enumerate(texts)])
-    out = {r.doc_id: r.spans for r in secrets.report(docs, secrets.train(docs.where("doc_id < 100"))).collect()}
+    out = {r.doc_id: r.spans for r in secrets.report(docs, secrets.train(secrets.samples(docs.where("doc_id < 100")))).collect()}
     assert all(out[i] == "" for i in range(40))
     spans = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in out[100 + i].split(",") if x)] for i in range(4)]
     for text, found, secret in zip(texts, spans, (coded[:16], coded[:24], low, coded[:24])):
@@ -262,6 +263,58 @@ def test_markov_parts_of_runs(spark):
     assert spans[3][0] == ("hex", 4, 28)
 
 
+def test_secrets_of_long_texts(spark):
+    """Texts with very many matches, and very long runs, take time in proportion."""
+    r = random.Random(8)
+    many = " ".join(r.choice(["é", "key"]) + " " + "".join(r.choices("0123456789abcdef", k=40)) + f" token={k:08d}" for k in range(10_000))
+    secret = base64.b64encode(r.randbytes(300)).decode().replace("/", "z")
+    run = "ordinary-words/" * 20_000 + secret + "/" + "x" * 50_000
+    rows = [(1, many), (2, run), (3, many + "\n" + run)]
+    model = secrets.train(spark.createDataFrame([(t, bool(i % 2)) for i, _, t in planted_secrets(1, 300)] + [("ordinary-words/ordinary-words", False), ("x" * 300, False)], "token string, random boolean"))
+    began = time.time()
+    out = {x.doc_id: x for x in secrets.report(clashing(spark, rows), model).collect()}
+    masked = {x.doc_id: x.text for x in secrets.mask(clashing(spark, rows), model).collect()}
+    assert time.time() - began < 60
+    for i, text in rows:
+        spans = secrets.brute_force(text)
+        assert out[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
+        expected, at = [], 0
+        for kind, a, b in sorted((x.split(":") for x in out[i].spans.split(",")), key=lambda x: int(x[1])):
+            if int(a) >= at:
+                expected += [text[at : int(a)], "[secret]"]
+            at = max(at, int(b))
+        assert masked[i] == "".join(expected) + text[at:]
+    assert (out[1].n_assign, out[1].n_hex) == (10_000, 10_000)
+    found = [[int(n) for n in x.split(":")[1:]] for x in out[2].spans.split(",")]
+    assert any(a <= run.index("/" + secret[:16]) + 1 and b >= run.index(secret[-16:]) + 16 for a, b in found) and len(masked[2]) > 300_000
+
+
+def planted_secrets(seed, n):
+    """Texts with random strings that no fixed pattern finds, and with ordinary runs as long."""
+    r = random.Random(seed)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"]
+    stems = "ordinary identifier configuration parameter service integration response document manager handler request customer address business".split()
+    rows = []
+    for i in range(n):
+        if i % 2:
+            token = "".join(r.choices(r.choice(alphabets), k=r.randrange(20, 48)))
+        else:
+            token = r.choice("_-/").join(r.choices(stems, k=r.randrange(3, 6)))
+        rows.append((i, " ".join([*r.choices(stems, k=8), token, *r.choices(stems, k=8)]), token))
+    return rows
+
+
+def test_markov_precision_and_recall(spark):
+    fitted, held = planted_secrets(1, 300), planted_secrets(2, 600)
+    model = secrets.train(spark.createDataFrame([(t, bool(i % 2)) for i, _, t in fitted], "token string, random boolean"))
+    own = secrets.train(secrets.samples(clashing(spark, [(i, t) for i, t, _ in fitted if not i % 2])))
+    for by in (model, own):
+        out = {x.doc_id: x.spans for x in secrets.report(clashing(spark, [(i, t) for i, t, _ in held]), by).collect()}
+        caught = sum("markov" in out[i] for i, *_ in held if i % 2)
+        wrong = sum("markov" in out[i] for i, *_ in held if not i % 2)
+        assert caught >= 0.95 * 300 and wrong <= 0.02 * 300, (caught, wrong)
+
+
 def test_mask(spark):
     rows = [(1, 'é token="abcdef123456" x deadbeefdeadbeefdeadbeefdead'), (2, "clean"), (3, None), (4, "secret=" + "0123456789abcdef" * 2)]
     docs = clashing(spark, rows)
@@ -331,6 +384,61 @@ def test_page_differencing(spark):
     assert out == {i: f"Story {i} begins and ends {i * 7}" for i in range(40)}
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<article><p>Body</p><button>Share this</button></article>", "Body"),
+        ("<article><p>One <span class='ad'>Buy <span>now</span> here</span> two</p><p>three</p></article>", "One two three"),
+        ("<article><section class='related-work'><p>Earlier methods</p></section><div class='notice-of-motion'><p>It is moved</p></div><div class='related-posts'><p>More</p></div></article>", "Earlier methods It is moved"),
+        ("<p>Text</p><label>Your name</label><button>Go</button>", "Text"),
+        ("<article><p>a</p><div class='ad-1 box'>x</div><div id='comments'><p>c</p></div><p>b</p></article><p>out</p>", "a b"),
+        ("<main><h1>T</h1><p>x<p>y</main><footer>f</footer>", "T x y"),
+    ],
+)
+def test_page_markup(inner, text):
+    assert " ".join(t for _, t, k in html_text.lines_of(f"<html><body>{inner}</body></html>") if k >= html_text.SUSPECT) == text
+
+
+def random_pages(seed, n):
+    """Pages of three hosts, most of them without marked content, in the order of their templates; some are copies."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        host = r.choice(["a.example", "a.example", "b.example", ""])
+        top = [f"<div class='t'>Menu {host} {k}</div>" for k in range(5) if r.random() < 0.8]
+        body = [f"<p>line {i} {k}</p>" for k in range(r.randrange(6))]
+        if r.random() < 0.3:
+            body.append(f"<div class='related-work'><div>often {r.randrange(3)}</div></div>")
+        if r.random() < 0.4:
+            body = ["<article>", *body, f"<div>share {host}</div>", "<p>a phrase of many pages</p>", "</article>"]
+        bottom = [f"<footer>end of {host}</footer>", f"<div class='promo{r.randrange(2)}x'>Offer {r.randrange(9)}</div>"]
+        rows.append((i, f"http://{host}/{r.randrange(5)}/{r.randrange(10**6)}" if host else None, "<body>" + "".join(top + body + bottom) + "</body>"))
+        if r.random() < 0.1:
+            rows.append((1000 + i, rows[-1][1] + "x" if rows[-1][1] else None, rows[-1][2]))
+    return rows
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_page_differencing_by_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(html_text, "SMALL_PAGES", small)
+    rows = random_pages(4, 150)
+    out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    expected = html_text.brute_force(rows)
+    assert sorted((x.page_id, x.text, x.n_lines, x.n_dropped) for x in out) == sorted(expected)
+    assert sum(x[3] for x in expected) > 300 and any("a phrase of many pages" in x[1] for x in expected) and not any("end of" in x[1] for x in expected)
+
+
+def test_pages_of_one_host(spark):
+    """A third of all pages on one host, most of them edited copies of one page without marked content: they keep their text."""
+    r = random.Random(3)
+    story = [f"<p>{' '.join(words(k, 12, 10**4))}</p>" for k in range(20)]
+    rows = [(i, f"http://hot.example/{i:04}", "<body><div>Hot site</div>" + "".join(story[:k] + [f"<p>edit {i}</p>"] + story[k:]) + "</body>") for i, k in enumerate(r.choices(range(20), k=100))]
+    rows += [(1000 + i, f"http://h{i}.example/", f"<body><article><p>page {i}</p></article></body>") for i in range(200)]
+    out = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    plain = " ".join(re.sub("<[^>]*>", "", p) for p in story)
+    assert all(out[i].replace("Hot site ", "").replace(f"edit {i} ", "").replace(f" edit {i}", "") == plain for i in range(100))
+    assert all(out[1000 + i] == f"page {i}" for i in range(200))
+
+
 def test_common_lines(monkeypatch):
     r = random.Random(4)
     for _ in range(400):
