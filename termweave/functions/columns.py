@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -260,36 +261,52 @@ def joined_label(a: Column | str, b: Column | str) -> Column:
 # --- normalisers -----------------------------------------------------------------------------------------------------
 
 
+def _labelled(c: Column | str, labels: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> Column:
+    """The first canonical value of which a part occurs in the label, or which the whole label means."""
+    t = upper_trim(c)
+    out = F.when(F.lit(False), "")
+    for value, parts, wholes in labels:
+        hit = t.isin(*wholes) if wholes else F.lit(False)
+        for part in parts:
+            hit = hit | t.contains(part)
+        out = out.when(hit, value)
+    return out
+
+
 def normal_term(c: Column | str) -> Column:
-    t = F.lower(col(c))
-    return F.when(t.contains("fall") | t.contains("autumn"), "FALL").when(t.contains("winter"), "WINTER").when(t.contains("spring"), "SPRING").when(t.contains("summer"), "SUMMER")
+    return _labelled(c, K.TERM_LABELS)
 
 
 def normal_enrollment(c: Column | str) -> Column:
-    t = F.lower(col(c))
-    return F.when(t.contains("transfer"), "TRANSFER-IN").when(t.contains("readmit") | t.contains("re-admit"), "RE-ADMIT").when(t.contains("first"), "FIRST-TIME")
+    return _labelled(c, K.ENROLLMENT_LABELS)
 
 
 def normal_pell(c: Column | str) -> Column:
-    t = F.lower(F.trim(col(c)))
-    return F.when(t.isin("y", "yes", "true", "1", "1.0"), "Y").when(t.isin("n", "no", "false", "0", "0.0"), "N")
+    return _labelled(c, K.PELL_LABELS)
 
 
-def normal_age(c: Column | str) -> Column:
-    age = F.floor(col(c).cast("string").try_cast("double"))
-    text = F.trim(col(c).cast("string"))
-    bucket = F.when(age.between(13, 20), "20 AND YOUNGER").when(age.between(21, 24), ">20 - 24").when(age.between(25, 100), "OLDER THAN 24")
-    return F.when(F.upper(text).isin("20 AND YOUNGER", ">20 - 24", "OLDER THAN 24"), F.upper(text)).otherwise(bucket)
+def normal_credential(c: Column | str) -> Column:
+    return _labelled(c, K.CREDENTIAL_LABELS)
 
 
-def normal_credential(c: Column | str) -> Column:
-    t = F.lower(col(c))
-    return F.when(t.contains("bachelor"), "BACHELOR'S DEGREE").when(t.contains("associate"), "ASSOCIATE'S DEGREE").when(t.contains("certificate"), "CERTIFICATE")
+def normal_age(c: Column | str) -> Column:
+    """Age bucket of a number, a bucket's own label or a phrase."""
+    text = F.upper(F.trim(F.regexp_replace(col(c).cast("string"), r"\s+", " ")))
+    age = F.floor(text.try_cast("double"))
+    (young, *_), (middle, *_), (old, *_) = K.AGE_BUCKETS
+    parts, wholes = K.YOUNGER_LABELS
+    has = lambda words: functools.reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+    out = F.when(text.isin(young, middle, old), text).when(has(parts) | text.isin(*wholes), young)
+    out = out.when(text.contains("OLDER") & text.contains("24"), old).when(has(K.MIDDLE_PARTS), middle)
+    for bucket, least, most in K.AGE_BUCKETS:
+        out = out.when(age.between(least, most), bucket)
+    return out
 
 
 def grade_map(overrides: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Defaults, then an institution's own entries; keys stripped and upper-cased."""
-    return K.STATUS_GRADE_MAP | K.LETTER_GPA | {k.strip().upper(): v for k, v in (overrides or {}).items()}
+    """Defaults, then an institution's own entries; keys and values stripped and upper-cased, entries without either left out."""
+    own = {str(k).strip().upper(): str(v).strip().upper() for k, v in (overrides or {}).items() if k is not None and v is not None and str(k).strip()}
+    return K.STATUS_GRADE_MAP | K.LETTER_GPA | own
 
 
 def normal_grade(c: Column | str, mapping: Mapping[str, str] | None = None) -> Column:

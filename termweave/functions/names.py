@@ -8,12 +8,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 
+#: Punctuation that parts words, and marks that vanish.
+PARTING, VANISHING = "!()*+,-./:;<=>?[]^_{|}~", "'\"`"
+
+
 def snake_case(name: str) -> str:
-    """Words of a name, split at punctuation, blanks, case changes and digits, lower-cased and joined by underscores."""
-    name = re.sub(r"['\"]", "", name)
-    name = re.sub(r"[\W_]+", " ", name)
-    name = re.sub(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])", " ", name)
-    return "_".join(name.lower().split())
+    """Words of a name, lower-cased and joined by underscores: parted by punctuation, and before capitals, digits and other signs."""
+    name = name.translate(str.maketrans(PARTING, " " * len(PARTING), VANISHING))
+    return "_".join(re.sub(r"(?<![A-Z])(?=[A-Z])|(?=[A-Z][a-z])|(?<![0-9])(?=[0-9])|(?<!\W)(?=\W)", " ", name).lower().split())
 
 
 def plain_name(name: str) -> str:

@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.functions.names import feature_family
 
-def _ranked(df: DataFrame, c: str, to: str) -> DataFrame:
-    """df with average ranks of c: counts per distinct value, summed over them, joined back. Only distinct values are sorted."""
-    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(c)) - F.col("_n")
-    return df.join(counts.select(c, (below + (F.col("_n") + 1) / 2).alias(to)), c)
+from . import ranks
+
+
+def _long(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """(feature, x, y) of rows where both are known: all features in one pass."""
+    return df.select(F.col(target).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features)).unpivot(["y"], list(features), "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
+
+
+def _ranks(cells: DataFrame, c: str, to: str) -> DataFrame:
+    """(feature, c, to): average ranks of c over cells(feature, x, y, n)."""
+    counts = cells.groupBy("feature", c).agg(F.sum("n").alias("n"))
+    return ranks.running(counts, ["feature"], c, {"n": "_upto"}).select("feature", c, (F.col("_upto") - (F.col("n") - 1) / 2).alias(to))
 
 
 def spearman(df: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
-    """(feature, spearman) over rows where both are known."""
-    out = None
-    for c in features:
-        known = df.select(F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y")).dropna()
-        one = _ranked(_ranked(known, "x", "rx"), "y", "ry").agg(F.lit(c).alias("feature"), F.corr("rx", "ry").alias("spearman"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    """(feature, spearman) over rows where both are known. Counted per distinct pair first; ranks are joined to those."""
+    cells = _long(df, features, target).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+    ranked = cells.join(_ranks(cells, "x", "rx"), ["feature", "x"]).join(_ranks(cells, "y", "ry"), ["feature", "y"])
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    means = ranked.groupBy("feature").agg(mean("rx").alias("mx"), mean("ry").alias("my"))
+    dx, dy = F.col("rx") - F.col("mx"), F.col("ry") - F.col("my")
+    sums = ranked.join(F.broadcast(means), "feature").groupBy("feature").agg(F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy"))
+    return sums.select("feature", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("spearman"))
 
 
 def auc(df: DataFrame, features: Sequence[str], target: str = "target", least: int = 10) -> DataFrame:
     """(feature, auc) of each feature alone, turned so that it is at least one half; null for few rows or constants."""
-    out = None
-    for c in features:
-        known = df.select(F.col(c).cast("double").alias("x"), F.col(target).cast("int").alias("y")).dropna()
-        sums = _ranked(known, "x", "r").agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("r"), F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.countDistinct("x").alias("v"))
-        area = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * F.col("n")).cast("double"))
-        known_area = F.when((F.col("p") + F.col("n") >= least) & (F.col("v") > 1), F.greatest(area, 1 - area))
-        one = sums.select(F.lit(c).alias("feature"), known_area.alias("auc"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    cells = _long(df, features, target).groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+    summed = ranks.running(cells, ["feature"], "x", {"n": "_upto"})
+    rank = F.col("_upto") - (F.col("n") - 1) / 2
+    sums = summed.groupBy("feature").agg(F.sum(F.col("ones") * rank).alias("r"), F.sum("ones").alias("p"), (F.sum("n") - F.sum("ones")).alias("q"), F.count("*").alias("v"))
+    area = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))
+    return sums.select("feature", F.when((F.col("p") + F.col("q") >= least) & (F.col("v") > 1), F.greatest(area, 1 - area)).alias("auc"))
+
+
+def _family_choice(name: str, corrs: Mapping[str, float], aucs: Mapping[str, float], mis: Mapping[str, float]) -> tuple:
+    """What decides which feature speaks for its family: larger is better."""
+    kind = next((k for k, start in enumerate(("frac_", "num_")) if name.startswith(start)), 3 if name.startswith("cum") else 2)
+    return aucs.get(name, 0.5), mis.get(name, 0.0), abs(corrs.get(name, 0.0)), -kind
+
+
+def suggest_forced(corrs: Mapping[str, float], aucs: Mapping[str, float], mis: Mapping[str, float] | None = None, assocs: Mapping[str, float] | None = None, exclude: Collection[str] = (), n_each: int = 3, skip_cumulative: bool = False) -> list[str]:
+    """Features to keep in any model: of each family the best by AUC, then the n_each strongest that rise with the target
+    (not below half way from chance to the best of them) and the n_each strongest that fall. Takes the collected
+    figures of spearman(), auc() and the like, one a feature; equal figures are suggested once."""
+    mis, assocs, best = mis or {}, assocs or {}, {}
+    for name in sorted({*corrs, *aucs, *mis} - set(exclude)):
+        family = feature_family(name)
+        if not (skip_cumulative and name.startswith("cum")) and (family not in best or _family_choice(name, corrs, aucs, mis) > _family_choice(best[family], corrs, aucs, mis)):
+            best[family] = name
+    strength = {n: aucs.get(n, 0.5) + 0.01 * mis.get(n, 0.0) + 0.001 * abs(corrs.get(n, 0.0)) + 0.001 * abs(assocs.get(n, 0.0)) for n in best.values()}
+
+    def strongest(names: list[str], floor: float = -math.inf) -> list[str]:
+        ordered = sorted((n for n in names if strength[n] >= floor), key=lambda n: -strength[n])
+        return list({strength[n]: n for n in reversed(ordered)}.values())[::-1][:n_each]
+
+    rising, falling = ([n for n in strength if sign * corrs.get(n, 0.0) > 0] for sign in (1, -1))
+    top = max((strength[n] for n in rising), default=0.5)
+    return list(dict.fromkeys(strongest(rising, 0.5 + 0.5 * (top - 0.5)) + strongest(falling)))
+
+
+def metric_table(named: Mapping[str, Mapping[str, float]], k: int = 10) -> str:
+    """The k largest figures of each measure side by side, one line a feature, for logs."""
+    tops = {m: dict(sorted(of.items(), key=lambda x: -x[1])[:k]) for m, of in named.items() if of}
+    if not tops:
+        return "(no metrics)"
+    names = list(dict.fromkeys(n for of in tops.values() for n in of))
+    width = max(map(len, names))
+    rows = [" " * width + "".join(f" {m:>12}" for m in tops)]
+    return "\n".join(rows + [n.ljust(width) + "".join(f" {of[n]:12.4f}" if n in of else " " * 13 for of in tops.values()) for n in names])
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

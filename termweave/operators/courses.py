@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,17 +55,22 @@ def section_features(df: DataFrame, keys: Sequence[str] = ("term_id", "course_id
     return df.withColumns({n: F.when(whole, windowed[n]) for n in windowed})
 
 
-def rank_dfwi(df: DataFrame, least: int = 30, keys: Sequence[str] = ("course_prefix", "course_number")) -> DataFrame:
-    """Courses by their rate of D, F, W and I grades. The denominator counts A, B, C, P and W only, so rates may exceed 1."""
-    grade = F.upper(F.trim("grade"))
-    label = C.grade_label("grade", C.grade_numeric("grade"), a_is_audit=False)
-    dfwi = F.sum(F.when(C.truthy(label.isin("D", "F") | grade.isin("W", "I")), 1).otherwise(0)).cast("bigint")
-    taken = F.sum(F.when(C.truthy(label.isin("A", "B", "C") | grade.isin("P", "W")), 1).otherwise(0)).cast("bigint")
-    out = df.groupBy(*keys).agg(dfwi.alias("num_dfwi"), taken.alias("num_students")).where(F.col("num_students") >= least)
-    return out.withColumn("dfwi_rate", F.round(C.ratio("num_dfwi", "num_students"), 6)).orderBy(F.desc("dfwi_rate"), F.desc("num_students"), *keys)
+def rank_dfwi(
+    df: DataFrame, least: int = 30, keys: Sequence[str] = ("course_prefix", "course_number"), grade: str = "grade",
+    kinds: Mapping[str, Sequence[str]] = K.DFWI_GRADES, completed: Sequence[str] = K.COMPLETED_GRADES,
+) -> DataFrame:
+    """(key, enrollments_den, D, F, W, I, dfwi_count, rate) of courses by their rate of those grades, as they are written.
 
+    The denominator counts completed and withdrawn rows only, so rates may exceed 1."""
+    g = C.upper_trim(grade)
+    n = lambda hit: F.count_if(C.truthy(hit))
+    out = df.groupBy(C.course_id(*keys).alias("key")).agg(n(g.isin(*completed, *kinds["W"])).alias("enrollments_den"), *(n(g.isin(*of)).alias(k) for k, of in kinds.items()))
+    total = functools.reduce(lambda a, b: a + b, (F.col(k) for k in kinds))
+    out = out.where(F.col("enrollments_den") >= least).withColumn("dfwi_count", total).withColumn("rate", C.ratio("dfwi_count", "enrollments_den"))
+    return out.orderBy(F.desc("rate"), F.desc("enrollments_den"), "key")
 
-def count_flags(df: DataFrame, prefix: str = "term_n_courses_", to: str = "term_flag_") -> DataFrame:
-    """df with its count columns replaced by 0/1 flags."""
-    counts = [c for c in df.columns if c.startswith(prefix)]
-    return df.withColumns({to + c.removeprefix(prefix): F.when(F.col(c) > 0, 1).otherwise(F.col(c)).cast("int") for c in counts}).drop(*counts)
+
+def count_flags(df: DataFrame, original: str, prefix: str = "term_n_courses_") -> DataFrame:
+    """df with the counts of one original column's values replaced by flags taking_course_..._this_term: 1 where positive, else as they were."""
+    counts = [c for c in df.columns if c.startswith(prefix + original)]
+    return df.withColumns({f"taking_course_{c.removeprefix(prefix)}_this_term": F.when(F.col(c) > 0, F.lit(1).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in counts}).drop(*counts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,32 +59,52 @@ def expanding_features(df: DataFrame, student: Sequence[str] = ("student_id",),
     return out
 
 
-def unique_and_repeated(df: DataFrame, columns: Sequence[str] = ("course_ids", "course_subjects", "course_subject_areas"), student: Sequence[str] = ("student_id",), order: Sequence[str] = ("academic_year", "term_ordinal")) -> DataFrame:
+#: Lists of a student-term and the columns of course rows that they list.
+LISTED = {"course_ids": "course_id", "course_subjects": "course_cip", "course_subject_areas": "course_subject_area"}
+
+
+def first_occurrences(courses: DataFrame, student: Sequence[str] = ("student_id",), order: Sequence[str] = ("academic_year", "term_ordinal")) -> DataFrame:
+    """Course rows with _new_{list}: 1 on the row that brings a value to the student for the first time, and _all_{list}: 1 on
+    rows that count as an element of their term's list (a course id counts once a term). Summed by term, they give
+    unique_and_repeated() its counts without lists, joins or another pass over the courses."""
+    made = {}
+    for listed, c in LISTED.items():
+        if c in courses.columns:
+            value = C.catalog_id(c) if listed == "course_ids" else F.col(c)
+            over = Window.partitionBy(*student, value).orderBy(*order)
+            term = F.struct(*order)
+            made[f"_new_{listed}"] = (F.row_number().over(over) == 1).cast("int")
+            made[f"_all_{listed}"] = (~F.lag(term).over(over).eqNullSafe(term)).cast("int") if listed == "course_ids" else F.lit(1)
+    return courses.withColumns(made)
+
+
+def _counted(df: DataFrame, columns: Sequence[str], student: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with _new_ and _all_ counts of its lists: elements of all lists are exploded together and flagged by one window."""
+    numbered = df.withColumn("_term", F.row_number().over(Window.partitionBy(*student).orderBy(*order)))
+    element = lambda c, x: F.struct(F.lit(c).alias("of"), x.cast("string").alias("x"))
+    tagged = [F.transform(C.distinct_catalog_ids(c) if c == "course_ids" else F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)), functools.partial(element, c)) for c in columns]
+    elements = numbered.select(*student, "_term", F.explode(F.concat(*tagged)).alias("_e"))
+    flagged = elements.withColumn("_new", (F.row_number().over(Window.partitionBy(*student, "_e").orderBy("_term")) == 1).cast("int"))
+    aggregates = [a for c in columns for a in (F.sum(F.when(F.col("_e.of") == c, F.col("_new"))).alias(f"_new_{c}"), F.count_if(F.col("_e.of") == c).alias(f"_all_{c}"))]
+    return numbered.join(flagged.groupBy(*student, "_term").agg(*aggregates), [*student, "_term"], "left").drop("_term")
+
+
+def unique_and_repeated(df: DataFrame, columns: Sequence[str] = tuple(LISTED), student: Sequence[str] = ("student_id",), order: Sequence[str] = ("academic_year", "term_ordinal")) -> DataFrame:
     """df with the running number of distinct and of repeated list elements; null counts as one element.
 
-    Each element is looked at once: its first occurrence is flagged by a window over (student, element), and running sums
-    follow, so that no list of a whole history is ever built.
-    """
+    Running sums of new and of all elements a term: from first_occurrences() if their sums are there, else from the lists.
+    No list of a whole history is ever built."""
     columns = [c for c in columns if c in df.columns]
-    numbered = df.withColumn("_term", F.row_number().over(Window.partitionBy(*student).orderBy(*order)))
-    elements = None
-    for c in columns:
-        values = C.distinct_catalog_ids(c) if c == "course_ids" else F.col(c)
-        one = numbered.select(*student, "_term", F.lit(c).alias("_column"), F.explode(F.transform(values, lambda x: F.struct(x.alias("x")))).alias("_e"))
-        elements = one if elements is None else elements.unionAll(one)
-    if elements is None:
+    if not columns:
         return df
-    of_element = Window.partitionBy(*student, "_column", "_e").orderBy("_term")
-    flagged = elements.withColumn("_new", (F.row_number().over(of_element) == 1).cast("int"))
-    aggregates = [a for c in columns for a in (F.sum(F.when(F.col("_column") == c, F.col("_new"))).alias(f"_new_{c}"), F.sum(F.when(F.col("_column") == c, 1)).alias(f"_all_{c}"))]
-    per_term = flagged.groupBy(*student, "_term").agg(*aggregates)
-    so_far = Window.partitionBy(*student).orderBy("_term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = numbered.join(per_term, [*student, "_term"], "left")
+    if any(f"_new_{c}" not in df.columns for c in columns):
+        df = _counted(df, columns, student, order)
+    so_far = Window.partitionBy(*student).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {}
     for c in columns:
         new, every = (F.coalesce(F.sum(f"_{k}_{c}").over(so_far), F.lit(0)) for k in ("new", "all"))
         made |= {f"cumnum_unique_{c}": new, f"cumnum_repeated_{c}": every - new}
-    return joined.withColumns(made).drop("_term", *(f"_{k}_{c}" for c in columns for k in ("new", "all")))
+    return df.withColumns(made).drop(*(f"_{k}_{c}" for c in columns for k in ("new", "all")))
 
 
 def enrolled_fractions(df: DataFrame, student: Sequence[str] = ("student_id",)) -> DataFrame:

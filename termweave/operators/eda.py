@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,33 +85,72 @@ def earned_over_attempted(df: DataFrame, earned: str = "number_of_credits_earned
     return df.agg(n.alias("n"), F.sum(more.cast("int")).cast("bigint").alias("n_more"), F.sum(nothing.cast("int")).cast("bigint").alias("n_of_nothing"), F.round(100 * F.avg(more.cast("int")), 4).alias("pct_more"), F.round(100 * F.avg(nothing.cast("int")), 4).alias("pct_of_nothing"))
 
 
-def credit_differences(courses: DataFrame, reported: DataFrame, keys: Sequence[str], course_credits: str, reported_credits: str, tolerance: float = 0.0) -> DataFrame:
-    """Reported rows with the sum over their courses, the difference and whether it is beyond tolerance."""
-    sums = courses.groupBy(*keys).agg(F.sum(course_credits).alias("course_sum"))
-    out = reported.join(sums, list(keys), "left").withColumn("difference", F.col(reported_credits) - F.coalesce("course_sum", F.lit(0.0)))
-    return out.withColumn("mismatch", F.abs("difference") > tolerance)
+def course_credit_anomalies(df: DataFrame, attempted: str = "number_of_credits_attempted", earned: str = "number_of_credits_earned", tolerance: float = 0.0) -> DataFrame:
+    """Course rows that earn more than they attempt, or either below zero, with those flags and the difference."""
+    a, e = F.col(attempted).try_cast("double"), F.col(earned).try_cast("double")
+    flags = {"earned_exceeds_attempted": C.truthy(e - a > tolerance), "attempted_negative": C.truthy(a < 0), "earned_negative": C.truthy(e < 0)}
+    return df.withColumns({"diff": e - a, **flags}).where(" OR ".join(flags))
 
 
-def reconciliation(differences: DataFrame) -> DataFrame:
-    """One row: rows, mismatches, rows without courses, and median, 90th percentile and maximum of absolute differences."""
-    gap = F.abs("difference")
-    p = F.percentile(gap, F.array(F.lit(0.5), F.lit(0.9)))
-    out = differences.agg(F.count("*").alias("n"), F.sum(C.truthy(F.col("mismatch")).cast("int")).cast("bigint").alias("n_mismatch"), F.count(F.when(F.col("course_sum").isNull(), 1)).alias("n_without_courses"), p.alias("_p"), F.max(gap).alias("max_gap"))
-    return out.select("n", "n_mismatch", "n_without_courses", F.col("_p")[0].alias("median_gap"), F.col("_p")[1].alias("p90_gap"), "max_gap")
+def share_of_rows(part: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: rows_checked, rows_with_anomalies and their percentage."""
+    counts = whole.agg(F.count("*").alias("rows_checked")).join(F.broadcast(part.agg(F.count("*").alias("rows_with_anomalies"))))
+    return counts.withColumn("pct_of_data", F.coalesce(F.round(F.try_divide(100 * F.col("rows_with_anomalies"), "rows_checked"), 2), F.lit(0.0)))
 
 
-def pass_fail_consistency(df: DataFrame, earned: str = "number_of_credits_earned") -> DataFrame:
-    """(rule, n): failing grades with credits, passing grades without, completed flags against withdrawn grades."""
-    passed, ok = C.passed("grade"), C.completed("grade")
-    rules = {"failed_with_credits": ~passed & (F.col(earned) > 0), "passed_without_credits": passed & (F.col(earned) <= 0), "withdrawn_with_credits": ~ok & (F.col(earned) > 0)}
-    row = df.agg(*(F.sum(C.truthy(hit).cast("int")).cast("bigint").alias(n) for n, hit in rules.items()))
-    return row.unpivot([], list(rules), "rule", "n")
+#: Measures of a reconciliation: name, then the credits of courses and of terms.
+MEASURES = {"attempted": ("number_of_credits_attempted", "number_of_semester_credits_attempted"), "earned": ("number_of_credits_earned", "number_of_semester_credits_earned")}
+
+
+def reconciled_terms(courses: DataFrame, reported: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[str, str]] = MEASURES, tolerance: float = 0.0) -> DataFrame:
+    """Reported rows with the sums and number of their courses, has_course_rows, and per measure diff_ (courses less reported)
+    and match_. Null keys meet each other; a difference that is not known is no match."""
+    measures = {m: of for m, of in measures.items() if of[1] in reported.columns}
+    number = lambda c: F.col(c).try_cast("double")
+    sums = courses.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(f"course_sum_{m}") for m, (c, _) in measures.items()), F.count("*").alias("course_count"))
+    on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    out = reported.join(sums, on, "left").drop(*(f"_{k}" for k in keys)).withColumn("has_course_rows", F.col("course_count").isNotNull())
+    for m, (_, c) in measures.items():
+        out = out.withColumn(f"diff_{m}", F.col(f"course_sum_{m}") - number(c)).withColumn(f"match_{m}", C.truthy(F.abs(f"diff_{m}") <= tolerance))
+    return out
+
+
+def reconciliation(terms: DataFrame, measures: Sequence[str] = tuple(MEASURES), accuracy: int | None = None) -> DataFrame:
+    """One row over reconciled_terms(): total_semester_rows, mismatched_rows, pct_of_data, rows_without_courses and, per measure,
+    mismatches, their direction, and median, 90th percentile and maximum of the absolute differences (exact, or with an accuracy)."""
+    missed = functools.reduce(lambda a, b: a | b, (~F.col(f"match_{m}") for m in measures))
+    aggregates = [F.count("*").alias("total_semester_rows"), F.count_if(missed).alias("mismatched_rows"), F.coalesce(F.round(100 * F.avg(missed.cast("int")), 2), F.lit(0.0)).alias("pct_of_data"), F.count_if(~F.col("has_course_rows")).alias("rows_without_courses")]
+    for m in measures:
+        d = F.col(f"diff_{m}")
+        at = F.array(F.lit(0.5), F.lit(0.9))
+        p = F.percentile(F.abs(d), at) if accuracy is None else F.percentile_approx(F.abs(d), at, accuracy)
+        aggregates += [F.count_if(~F.col(f"match_{m}")).alias(f"{m}_mismatches"), F.count_if(C.truthy(d < 0)).alias(f"{m}_terms_above"), F.count_if(C.truthy(d > 0)).alias(f"{m}_courses_above"), F.get(p, F.lit(0)).alias(f"{m}_median_gap"), F.get(p, F.lit(1)).alias(f"{m}_p90_gap"), F.max(F.abs(d)).alias(f"{m}_max_gap")]
+    return terms.agg(*aggregates)
+
+
+def pass_fail_anomalies(
+    df: DataFrame, grade: str = "grade", flag: str = "pass_fail_flag", earned: str = "number_of_credits_earned", passing: Sequence[str] = K.PASSING_GRADES,
+    failing: Sequence[str] = K.FAILING_GRADES, pass_flags: Sequence[str] = K.PASS_FLAGS, fail_flags: Sequence[str] = K.FAIL_FLAGS,
+) -> DataFrame:
+    """df with three rules broken or not: credits with a failing flag, none with a passing one, grade and flag that disagree."""
+    says = lambda c, yes, no: F.when(C.upper_trim(c).isin(*yes), True).when(C.upper_trim(c).isin(*no), False)
+    by_grade, by_flag, credits = says(grade, passing, failing), says(flag, pass_flags, fail_flags), F.col(earned).try_cast("double")
+    return df.withColumns({"earned_with_failing_grade": C.truthy(~by_flag & (credits > 0)), "no_credits_with_passing_grade": C.truthy(by_flag & (credits == 0)), "grade_pf_disagree": C.truthy(by_grade != by_flag)})
+
+
+def pass_fail_consistency(df: DataFrame, **options) -> DataFrame:
+    """One row: rows and percentage that break each rule of pass_fail_anomalies(), and any."""
+    rules = ("earned_with_failing_grade", "no_credits_with_passing_grade", "grade_pf_disagree")
+    found = pass_fail_anomalies(df, **options).withColumn("total_anomalous_rows", F.expr(" OR ".join(rules)))
+    pct = lambda c: F.coalesce(F.round(100 * F.avg(F.col(c).cast("int")), 2), F.lit(0.0)).alias(f"{c}_pct")
+    return found.agg(*(x for c in (*rules, "total_anomalous_rows") for x in (F.count_if(F.col(c)).alias(c), pct(c))))
 
 
 def unmapped_grades(df: DataFrame, c: str = "grade") -> DataFrame:
-    """(grade, n) of grades that are neither numbers nor known codes."""
+    """(grade, n) of grades that are neither numbers from 0 to 4 nor status codes; letters count as unmapped."""
     g = C.upper_trim(c)
-    return df.where(g.isNotNull() & ~g.isin(*K.NON_NUMERIC_GRADES) & g.try_cast("double").isNull()).groupBy(g.alias("grade")).agg(F.count("*").alias("n"))
+    number = C.truthy(g.try_cast("double").between(0, 4))
+    return df.where(g.isNotNull() & (g != "") & ~number & ~g.isin(*K.STATUS_GRADES)).groupBy(g.alias("grade")).agg(F.count("*").alias("n"))
 
 
 def top_values(df: DataFrame, c: str, k: int) -> DataFrame:

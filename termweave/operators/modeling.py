@@ -3,13 +3,14 @@ out, other models."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,22 +44,35 @@ def linear_contributions(model: PipelineModel, df: DataFrame, key: str, numeric:
     return df.select(key, F.explode(cells).alias("_c")).select(key, "_c.*")
 
 
-def calibrate(df: DataFrame, score: str = "score", actual: str = "actual", least_rows: int = 100, least_class: int = 50, gain: float = 1e-3) -> tuple[float, float] | None:
-    """Slope and intercept of Platt's scaling of the log-odds; None for too few rows, or if the Brier score gains too little."""
-    p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
-    rows = df.select(F.col(actual).cast("double").alias("_label"), F.log(p / (1 - p)).alias("x"), F.col(score).alias("p"))
+#: Sample sizes up to which a strength of regularisation and a grid of mixing weights hold.
+CALIBRATION_GRIDS = ((1000, 0.01, (0.25, 0.5)), (5000, 0.1, (0.25, 0.5, 0.75)), (math.inf, 1.0, (0.2, 0.4, 0.6, 0.8, 1.0)))
+
+
+def _log_odds(score: Column) -> Column:
+    p = F.least(F.greatest(score, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(p / (1 - p))
+
+
+def calibrate(df: DataFrame, score: str = "score", actual: str = "actual", least_rows: int = 100, least_class: int = 50, gain: float = 1e-3) -> tuple[float, float, float] | None:
+    """Slope and intercept of Platt's scaling of the log-odds, and the weight that mixes it with the raw score: the one of a
+    grid with the least Brier score. None for too few rows, or if the Brier score gains too little."""
+    rows = df.select(F.col(actual).cast("double").alias("_label"), _log_odds(F.col(score)).alias("x"), F.col(score).alias("p"))
     n, ones = rows.agg(F.count("*"), F.sum("_label")).first()
     if n < least_rows or min(ones, n - ones) < least_class:
         return None
-    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="_label")]).fit(rows)
+    strength, grid = next((c, g) for most, c, g in CALIBRATION_GRIDS if n < most)
+    learner = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1 / (strength * n), standardization=False)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="_features"), learner]).fit(rows)
     a, b = float(model.stages[-1].coefficients[0]), float(model.stages[-1].intercept)
-    after = 1 / (1 + F.exp(-(a * F.col("x") + b)))
-    before_loss, after_loss = rows.agg(F.avg((F.col("p") - F.col("_label")) ** 2), F.avg((after - F.col("_label")) ** 2)).first()
-    return (a, b) if before_loss - after_loss >= gain else None
+    scaled = 1 / (1 + F.exp(-(a * F.col("x") + b)))
+    losses = rows.agg(*(F.avg(((1 - w) * F.col("p") + w * scaled - F.col("_label")) ** 2) for w in (0.0, *grid))).first()
+    best = min(range(len(grid)), key=lambda k: losses[k + 1])
+    return (a, b, grid[best]) if losses[0] - losses[best + 1] >= gain else None
 
 
-def apply_calibration(df: DataFrame, scaling: tuple[float, float] | None, score: str = "score") -> DataFrame:
+def apply_calibration(df: DataFrame, scaling: tuple[float, float, float] | None, score: str = "score") -> DataFrame:
+    """df with its score mixed with the scaled one, or as it is."""
     if scaling is None:
         return df
-    p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return df.withColumn(score, 1 / (1 + F.exp(-(scaling[0] * F.log(p / (1 - p)) + scaling[1]))))
+    slope, intercept, weight = scaling
+    return df.withColumn(score, (1 - weight) * F.col(score) + weight / (1 + F.exp(-(slope * _log_odds(F.col(score)) + intercept))))

@@ -93,6 +93,7 @@ def aggregate_courses(df: DataFrame, keys: Sequence[str] = KEYS, dummies: Mappin
     made |= summary_aggregates(df.columns) | dummy_counts(dummies or {}) | value_counts(equal)
     if {"grade", "course_grade_numeric", "section_course_grade_numeric_mean"} <= set(df.columns):
         made |= grade_counts(least)
+    made |= {c: F.sum(c).cast("bigint") for c in df.columns if c.startswith(("_new_", "_all_"))}  # of cumulative.first_occurrences()
     out = df.dropna(subset=list(keys)).groupBy(*keys).agg(*(a.alias(n) for n, a in made.items()))
     took = [n for c, v in equal if c in ("course_id", "course_subject_area") for n in value_counts([(c, v)])]
     return out.withColumns({f"took_{n.removeprefix('num_courses_')}": F.col(f"`{n}`") >= 1 for n in took}) if took else out

@@ -28,7 +28,7 @@ def _beyond(limits: Mapping[str, float], intensity: Column, late: Callable[[floa
     return out
 
 
-def labelable(df: DataFrame, checkpoint: DataFrame, limits: Mapping[str, float], terms_in_year: int = 4, max_term_rank: int | None = None, student: Sequence[str] = ("student_id",), rank: str = "term_rank", intensity: str = "student_term_enrollment_intensity") -> DataFrame:
+def labelable(df: DataFrame, checkpoint: DataFrame, limits: Mapping[str, float], terms_in_year: int = 4, max_term_rank: int | None = None, student: Sequence[str] = ("student_id",), rank: str = "term_rank", intensity: str = "student_term_enrollment_intensity", keep: Sequence[str] = ()) -> DataFrame:
     """(student, student_max_term_rank, max_term_rank) of checkpoint students whose last term within the limit, in terms,
     lies in the data. An inferred end looks at core terms only; the season of the checkpoint shifts the limit by a term."""
     span = F.lit(limits["*"]) if "*" in limits else C.lookup(intensity, limits)
@@ -39,7 +39,7 @@ def labelable(df: DataFrame, checkpoint: DataFrame, limits: Mapping[str, float],
             last = last - F.when(season == "FALL", 1.0).otherwise(0.0)
         elif terms_in_year == 4:
             last = last + F.when(season.isin("SUMMER", "WINTER"), 1.0).otherwise(0.0)
-    out = checkpoint.select(*student, last.alias("student_max_term_rank"))
+    out = checkpoint.select(*student, *keep, last.alias("student_max_term_rank"))
     if max_term_rank is not None:
         out = out.withColumn("max_term_rank", F.lit(max_term_rank))
     else:
@@ -56,23 +56,27 @@ def more_than_one(checkpoint: DataFrame, student: Sequence[str] = ("student_id",
 
 
 def graduation(df: DataFrame, limits: Limits, terms_in_year: int = 4, max_term_rank: int | None = None, student: Sequence[str] = ("student_id",), years: str = "years_to_degree", year: str = "year_of_enrollment_at_cohort_inst", intensity: str = "student_term_enrollment_intensity") -> DataFrame:
-    """target: not graduated in time. The intensity is a student's most common one up to graduation, ties by name."""
+    """target: not graduated in time. The intensity is a student's most common one up to graduation, ties by name.
+
+    One aggregate a student gives that, and the checkpoint: the first term that is not before the cohort."""
     before = F.coalesce(F.col(year) <= F.col(years).cast("int"), F.lit(True))
-    ref = df.groupBy(*student).agg(F.mode(F.when(before, F.col(intensity)), True).alias("_intensity"), F.min(years).alias("_years"), F.max(before).alias("_any"))
+    season = ["academic_term"] if "academic_term" in df.columns else []
+    first = F.struct("term_rank", intensity, *season)
+    if "term_is_pre_cohort" in df.columns:
+        first = F.when(~C.truthy(F.col("term_is_pre_cohort")), first)
+    own = df.groupBy(*student).agg(F.mode(F.when(before, F.col(intensity)), True).alias("_intensity"), F.min(years).alias("_years"), F.max(before).alias("_any"), F.min(first).alias("_first"))
     late = _beyond(C.convert_limits("year", limits, terms_in_year), F.col("_intensity"), lambda n: F.coalesce(F.col("_years") > n, F.lit(True)))
-    columns = [*student, "term_rank", intensity, *(["academic_term"] if "academic_term" in df.columns else [])]
-    checkpoint = checkpoints.first_terms_in_cohort(df, student=student, columns=columns)
-    known = labelable(df, checkpoint, _terms(limits, terms_in_year), terms_in_year, max_term_rank, student, intensity=intensity)
-    return known.select(*student).join(ref.select(*student, (F.col("_any") & late).alias("target")), list(student))
+    checkpoint = own.where("_first IS NOT NULL").select(*student, "_first.*", (F.col("_any") & late).alias("target"))
+    return labelable(df, checkpoint, _terms(limits, terms_in_year), terms_in_year, max_term_rank, student, intensity=intensity, keep=["target"]).select(*student, "target")
 
 
 def credits_earned(df: DataFrame, credits: float, limits: Limits, checkpoint: DataFrame, terms_in_year: int = 4, max_term_rank: int | None = None, student: Sequence[str] = ("student_id",), rank: str = "term_rank", intensity: str = "student_term_enrollment_intensity", c: str = "cumsum_num_credits_earned") -> DataFrame:
     """target: so many credits not reached, or more terms after the checkpoint than its intensity's limit."""
     spans = _terms(limits, terms_in_year)
     reached = checkpoints.first_terms_at_credits(df, credits, c, student=student, order=(rank,)).select(*student, F.col(rank).alias("_reached"))
-    known = labelable(df, checkpoint, spans, terms_in_year, max_term_rank, student, rank, intensity).select(*student)
+    known = labelable(df, checkpoint, spans, terms_in_year, max_term_rank, student, rank, intensity, keep=[rank, intensity])
     late = _beyond(spans, F.col(intensity), lambda n: F.coalesce(F.col("_reached") - F.col(rank) > n, F.lit(True)))
-    return checkpoint.join(known, list(student)).join(reached, list(student), "left").select(*student, late.alias("target"))
+    return known.join(reached, list(student), "left").select(*student, late.alias("target"))
 
 
 def _year(c: Column) -> Column:

@@ -223,10 +223,10 @@ def misjoined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.misjoined(lens.cohorts(spark, sf_dir).where("retention"), lens.courses(spark, sf_dir).where("grade = 'W'"), "student_id")
 
 
-@query(f"WITH {_CO} SELECT DISTINCT race, gender FROM cohorts EXCEPT SELECT DISTINCT race, gender FROM cohorts WHERE student_age='OLDER THAN 24' AND CAST(student_id AS INT)<60")
+@query(f"WITH {_CO} SELECT DISTINCT race, gender FROM cohorts EXCEPT SELECT DISTINCT race, gender FROM cohorts WHERE student_age='OLDER THAN 24' AND enrollment_type='TRANSFER-IN'")
 def keys_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lens.cohorts(spark, sf_dir)
-    return eda.not_in(df, df.where("student_age = 'OLDER THAN 24' AND cast(student_id AS int) < 60"), ["race", "gender"])
+    return eda.not_in(df, df.where("student_age = 'OLDER THAN 24' AND enrollment_type = 'TRANSFER-IN'"), ["race", "gender"])
 
 
 @query(f"WITH {_CU}, x AS (SELECT number_of_credits_earned e, number_of_credits_attempted-2 a FROM courses) SELECT count(*) n, count(*) FILTER (e>a) n_more, count(*) FILTER (a=0 AND e>0) n_of_nothing, round(100*avg((e>a)::INT),4) pct_more, round(100*avg((a=0 AND e>0)::INT),4) pct_of_nothing FROM x")
@@ -234,25 +234,74 @@ def earned_over_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.earned_over_attempted(lens.courses(spark, sf_dir).withColumn("number_of_credits_attempted", F.col("number_of_credits_attempted") - 2))
 
 
-@query("WITH d AS (SELECT o_orderkey, round(o_totalprice/100,0) rep, s FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) s FROM lineitem WHERE l_returnflag<>'A' GROUP BY 1) ON o_orderkey=l_orderkey), g AS (SELECT s, abs(rep-coalesce(s,0)) g FROM d) SELECT count(*) n, count(*) FILTER (g>50) n_mismatch, count(*) FILTER (s IS NULL) n_without_courses, round(median(g),6) median_gap, round(quantile_cont(g,0.9),6) p90_gap, max(g) max_gap FROM g")
+_GAPS = "count(*) FILTER (NOT match_{0}) {0}_mismatches, count(*) FILTER (diff_{0}<0) {0}_terms_above, count(*) FILTER (diff_{0}>0) {0}_courses_above, round(median(abs(diff_{0})),6) {0}_median_gap, round(quantile_cont(abs(diff_{0}),0.9),6) {0}_p90_gap, max(abs(diff_{0})) {0}_max_gap"
+#: Orders as terms that report credits; the courses of some are missing, and some reports are null.
+_REPORTED = f"""t AS (SELECT o_orderkey, CASE WHEN o_orderpriority='5-LOW' THEN NULL ELSE round(o_totalprice/100,0) END ra, round(o_totalprice/100,0)-10 re FROM orders), s AS (SELECT l_orderkey, sum(l_quantity) a, coalesce(sum(CASE WHEN l_linestatus='F' THEN l_quantity END),0) e FROM lineitem WHERE l_returnflag<>'A' GROUP BY 1),
+  d0 AS (SELECT *, a-ra diff_attempted, e-re diff_earned FROM t LEFT JOIN s ON o_orderkey=l_orderkey), d AS (SELECT *, coalesce(abs(diff_attempted)<=50,false) match_attempted, coalesce(abs(diff_earned)<=50,false) match_earned FROM d0)"""
+
+
+def _terms_and_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = lens.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("double").alias("number_of_credits_attempted"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("double")).alias("number_of_credits_earned"))
+    said = F.round(F.col("o_totalprice") / 100, 0)
+    terms = lens.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", said).alias("number_of_semester_credits_attempted"), (said - 10).alias("number_of_semester_credits_earned"))
+    return eda.reconciled_terms(items, terms, ["o_orderkey"], tolerance=50.0)
+
+
+@query(f"WITH {_REPORTED} SELECT count(*) total_semester_rows, count(*) FILTER (NOT match_attempted OR NOT match_earned) mismatched_rows, round(100*avg((NOT match_attempted OR NOT match_earned)::INT),2) pct_of_data, count(*) FILTER (a IS NULL) rows_without_courses, {_GAPS.format('attempted')}, {_GAPS.format('earned')} FROM d")
 def credit_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = lens.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("double").alias("q"))
-    orders = lens.table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 100, 0).alias("rep"))
-    return rounded(eda.reconciliation(eda.credit_differences(items, orders, ["o_orderkey"], "q", "rep", 50.0)))
+    return rounded(eda.reconciliation(_terms_and_courses(spark, sf_dir)))
+
+
+@query(f"WITH {_REPORTED} SELECT o_orderkey, a IS NOT NULL has_course_rows, round(diff_attempted,6) diff_attempted, match_attempted, round(diff_earned,6) diff_earned, match_earned FROM d")
+def reconciled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_terms_and_courses(spark, sf_dir).select("o_orderkey", "has_course_rows", "diff_attempted", "match_attempted", "diff_earned", "match_earned"))
 
 
-@query(f"WITH {lens.FEATURED_SQL}, x AS (SELECT *, CASE WHEN section_id='1' THEN number_of_credits_attempted ELSE number_of_credits_earned END e FROM featured) SELECT 'failed_with_credits' rule, count(*) FILTER (NOT course_passed AND e>0) n FROM x UNION ALL SELECT 'passed_without_credits', count(*) FILTER (course_passed AND e<=0) FROM x UNION ALL SELECT 'withdrawn_with_credits', count(*) FILTER (NOT course_completed AND e>0) FROM x")
+@query(f"WITH {_CU}, x AS (SELECT number_of_credits_attempted-2 a, number_of_credits_earned e FROM courses) SELECT count(*) rows_checked, count(*) FILTER (e-a>0 OR a<0 OR e<0) rows_with_anomalies, round(100.0*count(*) FILTER (e-a>0 OR a<0 OR e<0)/count(*),2) pct_of_data FROM x")
+def course_credit_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lens.courses(spark, sf_dir).withColumn("number_of_credits_attempted", F.col("number_of_credits_attempted") - 2)
+    return eda.share_of_rows(eda.course_credit_anomalies(df), df)
+
+
+@query(f"""WITH {_CU}, x AS (SELECT CASE WHEN grade IN ('P','A','B','C','D') THEN true WHEN grade IN ('F','W','I') THEN false END g, CASE section_id WHEN '1' THEN true WHEN '2' THEN false END p, CASE WHEN section_id='2' AND delivery_method='O' THEN NULL ELSE number_of_credits_earned END e FROM courses),
+  z AS (SELECT coalesce(NOT p AND e>0,false) a, coalesce(p AND e=0,false) b, coalesce(g<>p,false) c FROM x) SELECT {', '.join(f"count(*) FILTER ({k}) {n}, round(100*avg(({k})::INT),2) {n}_pct" for k, n in (('a', 'earned_with_failing_grade'), ('b', 'no_credits_with_passing_grade'), ('c', 'grade_pf_disagree'), ('a OR b OR c', 'total_anomalous_rows')))} FROM z""")
 def pass_fail_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lens.courses(spark, sf_dir)
-    return eda.pass_fail_consistency(df.withColumn("number_of_credits_earned", F.when(F.col("section_id") == "1", F.col("number_of_credits_attempted")).otherwise(F.col("number_of_credits_earned"))))
+    flag = F.when(F.col("section_id") == "1", " p ").when(F.col("section_id") == "2", "F")
+    earned = F.when(~((F.col("section_id") == "2") & (F.col("delivery_method") == "O")), F.col("number_of_credits_earned"))
+    return eda.pass_fail_consistency(df.withColumns({"pass_fail_flag": flag, "number_of_credits_earned": earned}))
 
 
-@query("SELECT upper(trim(g)) grade, count(*) n FROM (SELECT CASE c_custkey%6 WHEN 0 THEN ' zz ' WHEN 1 THEN '3.5' WHEN 2 THEN 'A-' WHEN 3 THEN 'XF' WHEN 4 THEN NULL ELSE 'w' END g FROM customer) WHERE upper(trim(g)) IN ('ZZ','XF') GROUP BY 1")
+@query("SELECT upper(trim(g)) grade, count(*) n FROM (SELECT ['zz ','3.5','A-','4.5',NULL,'w',' b+','','np'][c_custkey%9+1] g FROM customer) WHERE upper(trim(g)) IN ('ZZ','A-','4.5','B+','NP') GROUP BY 1")
 def unmapped_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.get(F.array(F.lit(" zz "), F.lit("3.5"), F.lit("A-"), F.lit("XF"), F.lit(None), F.lit("w")), (F.col("c_custkey") % 6).cast("int"))
+    g = F.get(F.array(*map(F.lit, ("zz ", "3.5", "A-", "4.5", None, "w", " b+", "", "np"))), (F.col("c_custkey") % 9).cast("int"))
     return eda.unmapped_grades(lens.table(spark, sf_dir, "customer").select(g.alias("grade")))
 
 
+#: Raw labels with the canonical values that they stand for.
+_LABELS = {
+    "term": (("Fall", "FALL"), ("FA", "FALL"), ("Fall 2023", "FALL"), ("WI", "WINTER"), ("spring ", "SPRING"), ("SP", "SPRING"), ("SU", "SUMMER"), (" sm", "SUMMER"), ("Autumn", None), ("Q1", None), (None, None)),
+    "enrollment": (("First-time student", "FIRST-TIME"), ("Transfer", "TRANSFER-IN"), ("Re-admit", "RE-ADMIT"), ("Freshman", "FIRST-TIME"), ("First-Time Transfer", "FIRST-TIME"), ("part time", "FIRST-TIME"), ("readmitted", "RE-ADMIT"), ("Other", None), ("", None)),
+    "pell": (("Yes", "Y"), (" y", "Y"), ("NO", "N"), ("n", "N"), ("true", None), ("1", None), ("Maybe", None)),
+    "credential": (("Bachelor's Degree", "Bachelor's"), ("BA", "Bachelor's"), ("bs", "Bachelor's"), ("BA in Art", "Bachelor's"), ("AAS", "Associate's"), ("as", "Associate's"), ("Associate's", "Associate's"), ("certification", "Certificate"), ("Unknown", None)),
+    "age": (("13", "20 AND YOUNGER"), ("20.9", "20 AND YOUNGER"), ("21.0", ">20 - 24"), ("24.9", ">20 - 24"), ("25", "OLDER THAN 24"), ("100", "OLDER THAN 24"), ("12", None), ("101", None), ("  older  than 24 ", "OLDER THAN 24"), ("under 21", "20 AND YOUNGER"), ("20-24", ">20 - 24"), ("older than 24 years", "OLDER THAN 24"), ("NaN", None)),
+    "grade": (("W1", "W"), ("nsw", "W"), (" other", "O"), ("A-", "3.7"), ("b+", "3.3"), ("F", "0"), ("P", "P"), ("XF", "XF"), (None, None)),
+}
+_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_LABEL_ROWS = ", ".join(f"('{kind}', {_text(a)}, {_text(b)})" for kind, pairs in _LABELS.items() for a, b in pairs)
+
+
+@query(f"WITH l(kind, label, value) AS (VALUES {_LABEL_ROWS}) SELECT kind, label, value, n FROM l, (SELECT count(*) n FROM customer)")
+def normalised_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as raw files write them, by their normalisers, beside the number of customers."""
+    rows = spark.createDataFrame([(kind, a) for kind, pairs in _LABELS.items() for a, _ in pairs], "kind string, label string")
+    made = {"term": C.normal_term, "enrollment": C.normal_enrollment, "pell": C.normal_pell, "credential": C.normal_credential, "age": C.normal_age, "grade": C.normal_grade}
+    value = F.lit(None).cast("string")
+    for kind, f in made.items():
+        value = F.when(F.col("kind") == kind, f("label")).otherwise(value)
+    return rows.withColumn("value", value).join(F.broadcast(lens.table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))))
+
+
 @query(f"WITH {_CO} SELECT program_of_study_term_1, count(*) n FROM cohorts GROUP BY 1 ORDER BY n DESC, 1 LIMIT 7")
 def top_majors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.top_values(lens.cohorts(spark, sf_dir), "program_of_study_term_1", 7)

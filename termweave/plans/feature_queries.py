@@ -37,13 +37,13 @@ _AGG = """,
 st0 AS (
   SELECT student_id, term_id, min(academic_year) academic_year, min(academic_term) academic_term, min(term_start_dt) term_start_dt, min(term_ordinal) term_ordinal, min(term_rank) term_rank, min(term_rank_core) term_rank_core, min(term_rank_noncore) term_rank_noncore,
     bool_and(term_is_core) term_is_core, bool_and(term_is_noncore) term_is_noncore, bool_and(term_in_peak_covid) term_in_peak_covid, min(term_program_of_study) term_program_of_study,
-    count(course_id) num_courses, list(course_id) course_ids, list(course_subject_area) areas, count(DISTINCT course_id) course_id_nunique, CAST(coalesce(sum(course_passed::INT),0) AS BIGINT) num_courses_passed, CAST(sum(course_completed::INT) AS BIGINT) num_courses_completed,
+    count(course_id) num_courses, list(course_id) course_ids, list(course_subject_area) areas, list(course_cip) subjects, count(DISTINCT course_id) course_id_nunique, CAST(coalesce(sum(course_passed::INT),0) AS BIGINT) num_courses_passed, CAST(sum(course_completed::INT) AS BIGINT) num_courses_completed,
     sum(number_of_credits_attempted) num_credits_attempted, sum(number_of_credits_earned) num_credits_earned, count(DISTINCT course_cip) course_subject_nunique, count(DISTINCT course_subject_area) course_subject_area_nunique,
     avg(course_level) course_level_mean, stddev_samp(course_level) course_level_std, avg(course_grade_numeric) course_grade_numeric_mean, stddev_samp(course_grade_numeric) course_grade_numeric_std,
     avg(sections_num_students_enrolled) section_num_students_enrolled_mean, stddev_samp(sections_num_students_enrolled) section_num_students_enrolled_std, CAST(sum(sections_num_students_enrolled) AS BIGINT) sections_num_students_enrolled, CAST(sum(sections_num_students_passed) AS BIGINT) sections_num_students_passed, CAST(sum(sections_num_students_completed) AS BIGINT) sections_num_students_completed,
     count(*) FILTER (course_type='CC') num_courses_course_type_cc, count(*) FILTER (delivery_method='O') num_courses_delivery_method_o, count(*) FILTER (course_grade='A') num_courses_course_grade_a, count(*) FILTER (course_level=2) num_courses_course_level_2,
     count(*) FILTER (core_course='Y') num_courses_core_course_y, count(*) FILTER (course_level IN (0,1)) num_courses_course_level_0_1, count(*) FILTER (course_type IN ('CC','CD')) num_courses_course_type_cc_cd, count(*) FILTER (enrolled_at_other_institution_s='Y') num_courses_enrolled_at_other_institution_s_y,
-    count(*) FILTER (course_subject_area='24') num_courses_course_subject_area_24, count(*) FILTER (course_id='STAN101' OR regexp_matches(course_id,'^STAN101-\\d+$')) num_courses_course_id_stan101,
+    count(*) FILTER (course_subject_area='24') num_courses_course_subject_area_24, count(*) FILTER (course_id='STAN101' OR regexp_matches(course_id,'^STAN101-\\d+$')) num_courses_course_id_stan_101,
     count(*) FILTER (coalesce(grade IN ('F','W'),false) OR coalesce(course_grade_numeric>=0 AND course_grade_numeric<1,false)) num_courses_grade_is_failing_or_withdrawal, count(*) FILTER (course_grade_numeric>section_course_grade_numeric_mean) num_courses_grade_above_section_avg
   FROM sectioned GROUP BY 1,2),
 people AS (SELECT *, cohort||' '||cohort_term cohort_id, make_date(CAST(substring(cohort,1,4) AS INT) + CASE cohort_term WHEN 'FALL' THEN 0 ELSE 1 END, CASE cohort_term WHEN 'FALL' THEN 9 WHEN 'WINTER' THEN 1 WHEN 'SPRING' THEN 2 ELSE 6 END, 1) cohort_start_dt,
@@ -83,12 +83,6 @@ def _table(df: DataFrame, whole: list[str], fractions: list[str], places: int =
     return rounded(df.select(*whole, *fractions), places)
 
 
-@query(_sql(_KEY + _WHOLE, _FRACTIONS, "cumd"))
-def student_term_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: all of the student-term dataflow."""
-    return _table(student_term(spark, sf_dir), _KEY + _WHOLE, _FRACTIONS)
-
-
 _COURSE = ["student_id", "course_id", "course_subject_area", "course_passed", "course_completed", "course_level", "course_grade"]
 
 
@@ -122,7 +116,7 @@ def student_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("student_id", "cohort_id", "cohort_start_dt", "student_program_of_study_area_term_1", "student_program_of_study_changed_term_1_to_year_1", "student_is_pell_recipient_first_year", "diff_gpa_term_1_to_year_1"))
 
 
-_AGGREGATES = ["num_courses", "num_courses_course_type_cc", "num_courses_delivery_method_o", "num_courses_course_grade_a", "num_courses_course_level_2", "num_courses_core_course_y", "num_courses_course_level_0_1", "num_courses_course_type_cc_cd", "num_courses_enrolled_at_other_institution_s_y", "num_courses_course_subject_area_24", "num_courses_course_id_stan101", "num_courses_grade_above_section_avg"]
+_AGGREGATES = ["num_courses", "num_courses_course_type_cc", "num_courses_delivery_method_o", "num_courses_course_grade_a", "num_courses_course_level_2", "num_courses_core_course_y", "num_courses_course_level_0_1", "num_courses_course_type_cc_cd", "num_courses_enrolled_at_other_institution_s_y", "num_courses_course_subject_area_24", "num_courses_course_id_stan_101", "num_courses_grade_above_section_avg"]
 _SPREADS = ["course_level_std", "course_grade_numeric_std", "section_num_students_enrolled_mean", "section_num_students_enrolled_std"]
 
 
@@ -152,6 +146,22 @@ def unique_and_repeated_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return student_term(spark, sf_dir).select("student_id", "term_rank", "cumnum_unique_course_ids", "cumnum_repeated_course_ids")
 
 
+_LISTED = {"ids": "course_ids", "subjects": "course_subjects", "areas": "course_subject_areas"}
+_COUNTED_SQL = """, le AS (SELECT student_id, term_rank, 'ids' k, unnest(list_distinct(course_ids)) x FROM st0 UNION ALL SELECT student_id, term_rank, 'subjects', unnest(subjects) FROM st0 UNION ALL SELECT student_id, term_rank, 'areas', unnest(areas) FROM st0),
+  lf AS (SELECT student_id, term_rank, k, row_number() OVER (PARTITION BY student_id, k, x ORDER BY term_rank)=1 new FROM le),
+  lg AS (SELECT student_id, term_rank, """ + ", ".join(f"count(*) FILTER (k='{k}' AND new) n_{k}, count(*) FILTER (k='{k}') a_{k}" for k in _LISTED) + """ FROM lf GROUP BY 1,2),
+  lists AS (SELECT student_id, term_rank, """ + ", ".join(f"CAST(sum(n_{k}) OVER w AS BIGINT) cumnum_unique_{c}, CAST(sum(a_{k}) OVER w - sum(n_{k}) OVER w AS BIGINT) cumnum_repeated_{c}" for k, c in _LISTED.items()) + """ FROM lg WINDOW w AS (PARTITION BY student_id ORDER BY term_rank ROWS UNBOUNDED PRECEDING)),
+  whole AS (SELECT * FROM cumd JOIN lists USING (student_id, term_rank))"""
+_ALL = list(dict.fromkeys([*_KEY, *_WHOLE, *_AGGREGATES, *_HISTORY, *(f"cumnum_{k}_{c}" for c in _LISTED.values() for k in ("unique", "repeated"))]))
+_ALL_FRACTIONS = list(dict.fromkeys([*_FRACTIONS, *_SPREADS, *_RUNNING]))
+
+
+@query(_sql(_ALL, _ALL_FRACTIONS, "whole", STUDENT_TERM_SQL + _COUNTED_SQL, places=4))
+def student_term_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all of the student-term dataflow, every family of features among its columns."""
+    return _table(student_term(spark, sf_dir), _ALL, _ALL_FRACTIONS, 4)
+
+
 _CHECK = ["student_id", "term_id", "term_rank"]
 _RANKED = "(SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY term_rank{d}) n FROM cum WHERE {w})"
 
@@ -256,9 +266,10 @@ def custom_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.drop("term_prop_courses_core_course_Y"))
 
 
-@query(f"WITH {lens.FEATURED_SQL}, d AS (SELECT course_prefix, course_number, count(*) FILTER (course_grade IN ('D','F') OR grade IN ('W','I')) num_dfwi, count(*) FILTER (course_grade IN ('A','B','C') OR grade IN ('P','W')) num_students FROM featured GROUP BY 1,2) SELECT *, round(num_dfwi/num_students,6) dfwi_rate FROM d WHERE num_students>=30")
+@query(f"WITH {lens.COURSES_SQL}, d AS (SELECT course_prefix||course_number \"key\", count(*) FILTER (grade IN ('0','F')) F, count(*) FILTER (grade='1') D, count(*) FILTER (grade='W') W, count(*) FILTER (grade='I') I, count(*) FILTER (grade IN ('2','3','4','P','W')) enrollments_den FROM courses GROUP BY 1) SELECT *, D+F+W+I dfwi_count, round((D+F+W+I)/enrollments_den,6) rate FROM d WHERE enrollments_den>=30")
 def dfwi_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return courses.rank_dfwi(lens.courses(spark, sf_dir))
+    kinds = {"D": ("1",), "F": ("0", "F"), "W": ("W",), "I": ("I",)}
+    return rounded(courses.rank_dfwi(lens.courses(spark, sf_dir), kinds=kinds, completed=("2", "3", "4", "P")))
 
 
 @query("WITH y AS (SELECT unnest(range(2019,2023)) y), s AS (SELECT unnest([1,2,3,4]) p) SELECT CAST(y AS INT) \"year\", ['Spring','Summer','Fall','Winter'][p] season, CAST(y*100+p AS INT) term_order, make_date(CAST(y AS INT), CASE p WHEN 1 THEN 5 WHEN 2 THEN 8 WHEN 3 THEN 12 ELSE 1 END, 31) term_end_dt, CAST(dense_rank() OVER (ORDER BY y*100+p)-1 AS INT) term_rank FROM y, s")

@@ -13,15 +13,16 @@ from termweave.operators import checkpoints, courses, cumulative, model_prep, se
 def student_term_dataset(cohort: DataFrame, course: DataFrame, dummies: Mapping[str, Sequence] | None = None, equal: Sequence[tuple[str, object]] = (), level_pattern: str | None = None, calendar: DataFrame | None = None, rename: bool = True) -> DataFrame:
     """Cohort and course rows to one row a student and term, with features of courses, sections, terms and history.
 
-    Shuffles: course rows once by section (a window) and once by student, which the student-term aggregate, the join to
-    students and all windows share; then the running distinct counts. The term dimension is broadcast.
+    Shuffles: course rows once by section (a window) and once by student, which the first occurrences of courses, the
+    student-term aggregate, the join to students and all windows share. The term dimension is broadcast.
     """
     options = {"level_pattern": level_pattern} if level_pattern else {}
     rows = terms.term_features(courses.course_features(course, **options), calendar=calendar)
     rows = courses.section_features(rows)
     people = students.student_features(cohort)
     keys = students.merge_keys(people, rows)
-    by_term = student_terms.aggregate_courses(rows.repartition("student_id"), ["student_id", "term_id"], dummies, equal)
+    rows = cumulative.first_occurrences(rows.dropna(subset=["student_id", "term_id"]).repartition("student_id"))
+    by_term = student_terms.aggregate_courses(rows, ["student_id", "term_id"], dummies, equal)
     shared = [k for k in keys if k in by_term.columns]
     joined = by_term.join(people.drop(*(c for c in people.columns if c in by_term.columns and c not in shared)), shared)
     out = cumulative.cumulative_features(student_terms.student_term_features(joined))

@@ -1,0 +1,188 @@
+"""Cases that fix what operators mean: labels, grades, bias flags, credits, drift, suggestions."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from termweave.functions import columns as C
+from termweave.functions import constants as K
+from termweave.functions import names
+from termweave.operators import association, courses, cumulative, eda, metrics, modeling, ranks
+
+
+def values(spark, f, labels):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, x string").select("i", f("x").alias("y")).orderBy("i").collect()
+    return [r.y for r in rows]
+
+
+def test_terms(spark):
+    assert values(spark, C.normal_term, ["Fall", "FA", "Fall 2023", "FALL", "WI", "SP", "SU", "SM", "InvalidTerm", "Q1", None, " "]) == ["FALL"] * 4 + ["WINTER", "SPRING", "SUMMER", "SUMMER", None, None, None, None]
+
+
+def test_enrollment(spark):
+    labels = ["First-time student", "Transfer", "Re-admit", "Freshman", "RE-ADMIT", "Transfer-in", "First-Time Transfer", "Unknown", None]
+    assert values(spark, C.normal_enrollment, labels) == ["FIRST-TIME", "TRANSFER-IN", "RE-ADMIT", "FIRST-TIME", "RE-ADMIT", "TRANSFER-IN", "FIRST-TIME", None, None]
+
+
+def test_pell(spark):
+    assert values(spark, C.normal_pell, ["Yes", "No", "Y", "n ", "true", "1", "Maybe", None]) == ["Y", "N", "Y", "N", None, None, None, None]
+
+
+def test_credentials(spark):
+    labels = ["Bachelor's Degree", "BA", "BS", "bachelor", "Associate's", "AA", "AS", "AAS", "Certificate", "certification", "Unknown", None]
+    assert values(spark, C.normal_credential, labels) == ["Bachelor's"] * 4 + ["Associate's"] * 4 + ["Certificate"] * 2 + [None, None]
+
+
+def test_ages(spark):
+    labels = ["13", "20", "21", "24", "25", "100", "20 and younger", ">20 - 24", "12", "101", "Unknown", "21.0", "24.9", "  older than  24  ", "under 21", "21-24", "", None]
+    young, middle, old = (b for b, *_ in K.AGE_BUCKETS)
+    assert values(spark, C.normal_age, labels) == [young, young, middle, middle, old, old, young, middle, None, None, None, middle, middle, old, young, middle, None, None]
+
+
+def test_grade_maps(spark):
+    assert C.grade_map()["W1"] == "W" and C.grade_map()["OTHER"] == "O" and C.grade_map()["B+"] == "3.3"
+    own = C.grade_map({"NC": "ng", " a- ": " 3.5", "": "x", None: "y"})
+    assert (own["NC"], own["A-"], own["W1"], own["B"]) == ("NG", "3.5", "W", "3") and "" not in own
+    assert values(spark, C.normal_grade, ["A-", "b+ ", "OTH", "w2", "XF", None]) == ["3.7", "3.3", "O", "W", "XF", None]
+    left = eda.unmapped_grades(spark.createDataFrame([(g,) for g in ["4", "3.7", "W", "P", "A", "b+", "X", "4.5", " ", None, "X"]], "grade string"))
+    assert {tuple(r) for r in left.collect()} == {("A", 1), ("B+", 1), ("X", 2), ("4.5", 1)}
+
+
+@pytest.mark.parametrize(
+    "name, plain",
+    [("StudentGUID2Year", "student_guid_2_year"), ("Student GUID", "student_guid"), ("HTMLParser", "html_parser"), ("year1abc", "year_1abc"), ("it's a-name (x)", "its_a_name_x"), ("numCourses_CC|CD", "num_courses_cc_cd"), ("STAN101", "stan_101"), ("a#b", "a_#b"), ("ÀccentName", "àccent_name"), ("", "")],
+)
+def test_snake_case(name, plain):
+    assert names.snake_case(name) == plain
+
+
+def test_plain_names_and_collisions(spark):
+    assert names.plain_name(" A b-C ") == "a_b_c"
+    assert names.collisions(["a b", "A_B", "c"]) == {"a_b": ["a b", "A_B"]}
+    with pytest.raises(ValueError):
+        names.rename_all(spark.createDataFrame([(1, 2)], "`a b` int, `A_B` int"))
+
+
+def groups(spark, rows):
+    return spark.createDataFrame([("test", "g", *r) for r in rows], "split string, group string, subgroup string, size bigint, positives bigint, fnr double, ci_low double, ci_high double")
+
+
+def test_group_bias(spark):
+    rows = [("a", i < 60, i < 60 and i % 3 != 0) for i in range(100)] + [("b", False, False)] * 5 + [(None, True, False)]
+    df = spark.createDataFrame([("test", *r) for r in rows], "split string, g string, actual boolean, predicted boolean")
+    out = {r.subgroup: r for r in metrics.group_bias(df, "g").collect()}
+    scaled = 60 + math.log1p(60)
+    fnr = 20 / scaled
+    margin = 1.96 * math.sqrt(fnr * (1 - fnr) / scaled)
+    assert set(out) == {"a", "b"} and out["b"].fnr == out["b"].ci_high == 0
+    assert (out["a"].size, out["a"].positives, out["a"].fnr) == (100, 60, pytest.approx(fnr))
+    assert (out["a"].ci_low, out["a"].ci_high) == (pytest.approx(fnr - margin), pytest.approx(fnr + margin))
+
+
+def test_bias_flags(spark):
+    rows = [("high", 400, 100, 0.5, 0.4, 0.6), ("low", 400, 100, 0.3, 0.2, 0.4), ("near", 400, 100, 0.28, 0.2, 0.36), ("small", 400, 20, 0.9, 0.8, 1.0), ("tiny", 30, 100, 0.1, 0.0, 0.2), ("zero", 400, 100, 0.0, 0.0, 0.0)]
+    out = {(r.subgroup_a, r.subgroup_b): r for r in metrics.flag_bias(groups(spark, rows)).collect()}
+    assert not any("zero" in pair for pair in out) and len(out) == 10
+    assert out["high", "low"].flag == "🔴 HIGH BIAS" and out["high", "low"].type == "overlapping confidence intervals with a p-value less than 0.001"
+    assert out["low", "near"].flag == "🟢 NO BIAS" and out["low", "near"].type.startswith("no significant difference with a p-value of 0.")
+    assert out["small", "high"].flag == "⚪ INSUFFICIENT DATA" and "p-value" in out["small", "high"].type
+    assert out["high", "tiny"].flag == "⚪ INSUFFICIENT DATA" and out["high", "tiny"].type == "insufficient samples for statistical test" and out["high", "tiny"].p_value is None
+    score = metrics.bias_scores(metrics.flag_bias(groups(spark, rows))).first()
+    assert (score.num_valid_comparisons, score.num_bias_flags, score.bias_score_max) == (3, 2, 0.22)
+    assert score.bias_score_sum == pytest.approx(0.42) and score.bias_score_mean == pytest.approx(0.14)
+
+
+@pytest.mark.parametrize("a, b, n, flag", [(0.2, 0.12, 300, "🟡 LOW BIAS"), (0.22, 0.11, 1000, "🟠 MODERATE BIAS"), (0.22, 0.11, 120, "🟡 LOW BIAS"), (0.2, 0.25, 100, "🟢 NO BIAS")])
+def test_bias_levels(spark, a, b, n, flag):
+    assert metrics.flag_bias(groups(spark, [("x", n, 100, a, 0.0, 1.0), ("y", n, 100, b, 0.0, 1.0)])).first().flag == flag
+
+
+def test_pass_fail(spark):
+    rows = [("A", "P", 3.0), ("F", "F", 3.0), ("a ", " p", 0.0), ("F", "P", 3.0), ("A", "F", 0.0), ("zz", "P", 3.0), ("A", None, 0.0), (None, "F", None)]
+    row = eda.pass_fail_consistency(spark.createDataFrame(rows, "grade string, pass_fail_flag string, number_of_credits_earned double")).first()
+    assert (row.earned_with_failing_grade, row.no_credits_with_passing_grade, row.grade_pf_disagree, row.total_anomalous_rows) == (1, 1, 2, 4)
+    assert row.total_anomalous_rows_pct == 50.0
+    none = eda.pass_fail_consistency(spark.createDataFrame([], "grade string, pass_fail_flag string, number_of_credits_earned double")).first()
+    assert none.total_anomalous_rows == 0 and none.total_anomalous_rows_pct == 0
+
+
+def test_credits(spark):
+    courses_ = spark.createDataFrame([("1", "F", "3", "3"), ("1", "F", "3", "x"), (None, "F", "1", "1"), ("2", "F", "-1", "0")], "student_id string, semester string, number_of_credits_attempted string, number_of_credits_earned string")
+    reported = spark.createDataFrame([("1", "F", 6.0, 6.0), (None, "F", 1.0, 1.0), ("2", "F", -1.0, 0.0), ("9", "F", 3.0, None)], "student_id string, semester string, number_of_semester_credits_attempted double, number_of_semester_credits_earned double")
+    terms = eda.reconciled_terms(courses_, reported, ["student_id", "semester"])
+    out = {r.student_id: r for r in terms.collect()}
+    assert (out["1"].diff_attempted, out["1"].match_attempted, out["1"].diff_earned, out["1"].match_earned) == (0.0, True, -3.0, False)
+    assert out[None].match_earned and out[None].course_count == 1
+    assert not out["9"].has_course_rows and not out["9"].match_attempted and not out["9"].match_earned
+    row = eda.reconciliation(terms).first()
+    assert (row.total_semester_rows, row.mismatched_rows, row.pct_of_data, row.rows_without_courses, row.earned_terms_above, row.earned_max_gap) == (4, 2, 50.0, 1, 1, 3.0)
+    odd = eda.course_credit_anomalies(courses_)
+    assert [(r.student_id, r.attempted_negative, r.earned_exceeds_attempted) for r in odd.collect()] == [("2", True, True)]
+    assert tuple(eda.share_of_rows(odd, courses_).first()) == (4, 1, 25.0)
+
+
+def test_dfwi_ranking(spark):
+    grades = ["A"] * 4 + ["D", "DD", "F", "NP", "WF", "W", "WD", "I", "IP", "4", "zz", None]
+    df = spark.createDataFrame([("M", "1", g) for g in grades] + [("M", "2", "A")], "course_prefix string, course_number string, grade string")
+    row = courses.rank_dfwi(df, least=6).collect()
+    assert [tuple(r) for r in row] == [("M1", 6, 2, 3, 2, 2, 9, 1.5)]
+
+
+def test_count_flags(spark):
+    df = spark.createDataFrame([(1, 0, 2, 5), (2, None, 1, 0)], "id int, term_n_courses_subject_a int, term_n_courses_subject_b int, term_n_courses_grade_A int")
+    out = courses.count_flags(df, "subject")
+    assert out.columns == ["id", "term_n_courses_grade_A", "taking_course_subject_a_this_term", "taking_course_subject_b_this_term"]
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 5, 0, 1), (2, 0, None, 1)]
+
+
+def test_drift(spark):
+    before = spark.createDataFrame([(float(i), float(i % 7)) for i in range(400)], "x double, y double")
+    after = spark.createDataFrame([(float(i) + 60, float(i % 7)) for i in range(400)] + [(None, None)] * 100, "x double, y double")
+    out = {r.feature: r for r in metrics.ks_drift(before, after, ["x", "y"]).collect()}
+    assert out["x"].ks_stat == pytest.approx(0.15) and out["x"].p_value == pytest.approx(0.00024, rel=0.15)
+    assert out["y"].ks_stat == 0 and out["y"].p_value == 1.0
+    assert (out["x"].mean_delta, out["x"].median_delta, out["x"].infer_null_pct) == (60.0, 60.0, 0.2)
+
+
+def test_running_totals(spark):
+    rows = [(i % 3, float(i * 7919 % 101), 1 + i % 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double, n bigint")
+    for size in (1, 4, 200):
+        out = ranks.running(df, ["g"], "v", {"n": "upto"}, {"n": "whole"}, ranges=size) if size > 1 else ranks.running(df, ["g"], "v", {"n": "upto"}, {"n": "whole"})
+        for r in out.collect():
+            assert r.upto == sum(n for g, v, n in rows if g == r.g and v <= r.v) and r.whole == sum(n for g, _, n in rows if g == r.g)
+
+
+def test_suggestions():
+    corrs = {"frac_a": 0.4, "cumfrac_a": 0.4, "num_b": 0.1, "c": -0.5, "d": -0.2, "e": 0.3, "id": 0.9}
+    aucs = {"frac_a": 0.8, "cumfrac_a": 0.8, "num_b": 0.55, "c": 0.75, "d": 0.6, "e": 0.7, "id": 0.99}
+    assert association.suggest_forced(corrs, aucs, exclude=["id"]) == ["frac_a", "e", "c", "d"]
+    assert association.suggest_forced(corrs, aucs, exclude=["id"], n_each=1) == ["frac_a", "c"]
+    assert association.suggest_forced({}, {}) == []
+    assert association.metric_table({"auc": {}}) == "(no metrics)"
+    lines = association.metric_table({"auc": aucs, "corr": corrs}, 2).splitlines()
+    assert lines[1].split() == ["id", "0.9900", "0.9000"] and len(lines) == 3
+
+
+def test_calibration(spark):
+    df = spark.range(1200).select((F.col("id") % 100 / 200.0 + 0.005).alias("score"), (F.col("id") % 100 < F.col("id") / 12 + 0).alias("actual"))
+    under = df.select("score", (F.col("score") * 2 > F.rand(3)).alias("actual"))
+    scaling = modeling.calibrate(under)
+    assert scaling and scaling[2] in (0.25, 0.5, 0.75)
+    loss = lambda x: x.agg(F.avg((F.col("score") - F.col("actual").cast("int")) ** 2)).first()[0]
+    assert loss(modeling.apply_calibration(under, scaling)) < loss(under)
+    assert modeling.apply_calibration(under, None) is under
+
+
+def test_counts_of_lists_agree(spark):
+    """First occurrences on course rows, summed by term, against the same counts from the lists of student-terms."""
+    rows = [(f"s{i % 5}", f"20{10 + i % 4:02}", i % 3, f"C{i * 7 % 6}" if i % 11 else None, f"{i % 4}.0") for i in range(150)] + [("s1", "2010", 0, "C1-2", "0.0")]
+    df = spark.createDataFrame(rows, "student_id string, academic_year string, term_ordinal int, course_id string, course_cip string")
+    term = ["student_id", "academic_year", "term_ordinal"]
+    lists = [F.collect_list(F.struct(F.col(c).alias("x"))).alias(f"_{to}") for to, c in (("course_ids", "course_id"), ("course_subjects", "course_cip"))]
+    plain = df.groupBy(*term).agg(*lists).select(*term, *(F.transform(f"_{c}", lambda s: s["x"]).alias(c) for c in ("course_ids", "course_subjects")))
+    flags = [F.sum(f"_{k}_{c}").cast("bigint").alias(f"_{k}_{c}") for k in ("new", "all") for c in ("course_ids", "course_subjects")]
+    summed = plain.join(cumulative.first_occurrences(df).groupBy(*term).agg(*flags), term)
+    a, b = (sorted(map(tuple, cumulative.unique_and_repeated(x).drop("course_ids", "course_subjects").collect())) for x in (plain, summed))
+    assert a == b and len(a) == 60
