@@ -24,7 +24,8 @@ FEATURES = {
 
 
 def course_features(df: DataFrame, features: Sequence[str] | None = None, min_passing_grade: float = K.MIN_PASSING_GRADE, level_pattern: str = K.COURSE_LEVEL_PATTERN, a_is_audit: bool = True) -> DataFrame:
-    """df with the features (default: all whose inputs are there); one projection."""
+    """df with the features (default: all whose inputs are there). The letter of a grade reads the numeric one as a column:
+    written out in each of its branches, it makes one method too long for the JVM to compile."""
     features = [f for f in features or FEATURES if set(FEATURES[f]) <= set(df.columns)]
     if "course_grade" in features and "course_grade_numeric" not in features:
         raise ValueError("course_grade needs course_grade_numeric")
@@ -35,9 +36,9 @@ def course_features(df: DataFrame, features: Sequence[str] | None = None, min_pa
         "course_completed": lambda: C.completed("grade"),
         "course_level": lambda: C.course_level("course_number", level_pattern),
         "course_grade_numeric": lambda: C.grade_numeric("grade"),
-        "course_grade": lambda: C.grade_label("grade", C.grade_numeric("grade"), a_is_audit),
     }
-    return df.withColumns({f: made[f]() for f in features})
+    out = df.withColumns({f: made[f]() for f in features if f in made})
+    return out.withColumn("course_grade", C.grade_label("grade", "course_grade_numeric", a_is_audit)) if "course_grade" in features else out
 
 
 def section_features(df: DataFrame, keys: Sequence[str] = ("term_id", "course_id", "section_id"), student: str = "student_id") -> DataFrame:

@@ -149,9 +149,10 @@ def student_term_features(df: DataFrame, full_time: float = K.FULL_TIME_CREDITS,
     for name, what in (("pass", "passed"), ("completion", "completed")):
         if {f"frac_courses_{what}", f"frac_sections_students_{what}"} <= set(out.columns):
             last[f"student_{name}_rate_above_sections_avg"] = C.above_average(f"frac_courses_{what}", f"frac_sections_students_{what}")
+    order = ("academic_year", "term_ordinal") if {"academic_year", "term_ordinal"} <= have else ("term_rank",)  # the former is how histories sort
     for c in ("term_program_of_study", "term_program_of_study_area", "term_degree"):
         if c in out.columns:
-            last[f"{c}_changed_prev_term"] = changed_from_previous(c, student)
+            last[f"{c}_changed_prev_term"] = changed_from_previous(c, student, order)
     return out.withColumns(last) if last else out
 
 
