@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing.
 
 Words are maximal runs of digits, ASCII letters (lower-cased) and non-ASCII characters. A window is WINDOW consecutive
-words of a benchmark item (an item with fewer words, but not none, is one window). Of each WINDOW words only the
-smallest of the hashes of its GRAM-word grams is kept, on either side, so two equal windows always share one; a shared
-fingerprint is then extended to the windows over it, which are compared word by word. Windows of short items are looked
-up at each position (winnowing with a window of one gram).
+words of a benchmark item (an item with fewer words, but not none, is one window). Of each WINDOW words only the smallest
+of the hashes of its GRAM-word grams is kept, on either side, so two equal windows always share a fingerprint; windows of
+short items are fingerprints themselves, looked up at every position of a document.
 
-The benchmark is the query set. While its text is at most SMALL_BYTES it is broadcast and each document is scanned where
-it is read, with no shuffle; beyond, fingerprints of both sides are joined and each document meets the items it shares
-one with. Both ways run the same extension.
+Fingerprints of documents and items are joined; a shared one is extended to the windows over it, which are joined to the
+items' windows by 128-bit hashes of their words; items join last, to the windows that were hit. A bitmap of BITMAP bits,
+of one size for any benchmark, marks the items' fingerprints, so that of the documents' only those that may be shared
+leave the scan, and with them the texts that have any. No step gathers the windows of an item or the documents of a
+window, so a one-word item that most documents hold costs one row for each place.
 
 Defined results: null text has no words and is not contaminated; items without words or without item_id add no item_id
 (words of items without item_id still count as hits); repeated rows are judged one by one; empty tables give no hits.
@@ -17,24 +18,23 @@ Defined results: null text has no words and is not contaminated; items without w
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import batch_slices, cut, mix, window_hash
+from .common import WordHash, batch_slices, block_number, cut, mix, window_hash
 
 WINDOW = 10
 GRAM = 5
-SMALL_BYTES = 16 << 20
+BITMAP = 1 << 25
 
 _TABLE = bytes((c | 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-FIELDS = "n_words bigint, n_hit bigint, n_items bigint, items string, contaminated boolean, hits array<struct<start:int,end:int>>"
+_WORDS = WordHash()
+_PRINT = pa.struct([("n", pa.int32()), ("h", pa.int64()), ("at", pa.int32())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,152 +52,123 @@ def winnow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-class Index:
-    """Windows and fingerprints of benchmark items."""
-
-    def __init__(self, items: list[tuple]) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        self.owners: dict[int, dict[bytes, set]] = {}
-        prints = []
-        for item, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            x = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            n = min(WINDOW, len(x))
-            owners = self.owners.setdefault(n, {})
-            for i in range(len(x) - n + 1):
-                owners.setdefault(x[i : i + n].tobytes(), set()).add(item)
-            if n == WINDOW:
-                prints.append(winnow(x.astype(np.uint64))[1])
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.shortest = min(self.owners, default=0)
-
-    def starts(self, x: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
-        """Where windows of n known words may begin: for WINDOW, those over a shared fingerprint."""
-        sums = np.concatenate([[0], np.cumsum(known)])
-        may = sums[n:] - sums[:-n] == n
-        if n < WINDOW or not may.any():
-            return np.flatnonzero(may)
-        at, prints = winnow(x.astype(np.uint64))
-        place = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        near = np.zeros(len(x), bool)
-        for p in at[self.prints[place] == prints]:
-            near[max(0, p - (WINDOW - GRAM)) : p + 1] = True
-        return np.flatnonzero(may & near[: len(may)])
-
-    def scan(self, text: str | None) -> tuple[int, np.ndarray | None, set]:
-        """Number of words, which are hit (None: none), and the items with a window here."""
-        words = words_of(text)
-        get = self.vocabulary.get
-        x = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        known = x > 0
-        hit, found = None, set()
-        if not self.owners or known.sum() < self.shortest:
-            return len(words), hit, found
-        for n, owners in self.owners.items():
-            if n > len(x):
-                continue
-            for i in self.starts(x, known, n):
-                if (items := owners.get(x[i : i + n].tobytes())) is not None:
-                    hit = np.zeros(len(x), bool) if hit is None else hit
-                    hit[i : i + n] = True
-                    found |= items
-        return len(words), hit, found
-
-
-def _spans(hit: np.ndarray | None) -> list[dict]:
-    if hit is None:
-        return []
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-
-
-def _fields(index: Index, text: str | None) -> tuple:
-    n, hit, found = index.scan(text)
-    items = sorted(str(i) for i in found if i is not None)
-    return n, 0 if hit is None else int(hit.sum()), len(items), ",".join(items), hit is not None, _spans(hit)
-
-
-_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-_NAMES = ["n_words", "n_hit", "n_items", "items", "contaminated", "hits"]
-
-
-def _scanner(index_of) -> Callable:
-    """Keeps all columns but the text (and _items), and adds FIELDS."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches, "_text"):
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
-            columns = zip(*(_fields(index, t) for index, t in zip(index_of(batch), texts)))
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("_text", "_items")]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *map(pa.array, columns, _ARROW)], names=[*(n for n, _ in kept), *_NAMES])
-
-    return scan
-
-
-def find_overlap(docs: DataFrame, benchmark: DataFrame, small_bytes: int = SMALL_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep and FIELDS of every row of docs(text, ...) against benchmark(item_id, text); hits are spans of words."""
-    docs = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = StructType([*docs.schema.fields[:-1], *_parse_datatype_string(FIELDS).fields])
-    benchmark = benchmark.select(F.col("item_id"), F.col("text").cast("string"))
-    if (benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > small_bytes:
-        return _joined(docs, benchmark, schema)
-    items = [tuple(r) for r in benchmark.collect()]
-    built: list[Index] = []
-
-    def index_of(batch: pa.RecordBatch) -> Iterator[Index]:
-        built or built.append(Index(items))
-        return repeat(built[0])
-
-    return docs.mapInArrow(_scanner(index_of), schema)
+def prints_of(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints for windows of n words."""
+    if n == WINDOW:
+        return winnow(x)
+    h = window_hash(mix(x), n)
+    return np.arange(len(h)), h
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, schema: StructType) -> DataFrame:
-    """The same for a benchmark of any size: a join on fingerprints, then each document against the items it met."""
-    lengths = sorted(r[0] for r in benchmark.mapInArrow(_lengths, "n int").distinct().collect())  # at most WINDOW values
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    of_items = benchmark.mapInArrow(_prints("item_id", None), f"item_id {kind}, text string, n int, h bigint")
-    of_docs = numbered.select("_row", F.col("_text").alias("text")).mapInArrow(_prints("_row", lengths), "_row bigint, text string, n int, h bigint").drop("text").distinct()
-    met = of_docs.join(of_items, ["n", "h"]).select("_row", "item_id", "text").distinct()
-    met = met.groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("_items"))
+def marked(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes the bitmap marks."""
+    bit = h % np.uint64(8 * len(bitmap))
+    return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-    def index_of(batch: pa.RecordBatch) -> Iterator[Index]:
-        for items in batch.column(batch.schema.get_field_index("_items")).to_pylist():
-            yield Index([(x["item_id"], x["text"]) for x in items or []])
 
-    return numbered.join(met, "_row", "left").drop("_row").mapInArrow(_scanner(index_of), schema)
+def shared_prints(x: np.ndarray, lengths: list[int], bitmap: np.ndarray) -> list[dict]:
+    """The fingerprints of a document's words that items may have too."""
+    out = []
+    for n in lengths:
+        if n > len(x) or n == WINDOW and not marked(window_hash(mix(x), GRAM), bitmap).any():
+            continue
+        at, h = prints_of(x, n)
+        some = np.flatnonzero(marked(h, bitmap))
+        out += [{"n": n, "h": v, "at": p} for p, v in zip(at[some].tolist(), h[some].view(np.int64).tolist())]
+    return out
 
 
-def _stable(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, n, keys of its windows, fingerprints."""
     for batch in batches:
-        found = {min(WINDOW, len(words_of(t))) for t in batch.column("text").to_pylist()} - {0}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
+        ids, out = [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            words = words_of(text)
+            n = min(WINDOW, len(words))
+            if n:
+                ids.append(i)
+                out.append((n, [_key(words[k : k + n]) for k in range(len(words) - n + 1)], prints_of(_WORDS.array(words), n)[1].view(np.int64)))
+        if out:
+            n, keys, prints = zip(*out)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(ids)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(prints, pa.list_(pa.int64()))], names=["item_id", "n", "keys", "prints"])
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """One bit for each fingerprint of prints(h): what reaches the driver is BITMAP bits at most."""
+    bit = F.col("h").bitwiseAND(BITMAP - 1) + 1  # the function's own numbers start at 1
+    parts = prints.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(BITMAP // 8, np.uint8)
+    for r in parts.collect():
+        at = (r.part - 1) * len(r.bits)
+        out[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
-def _prints(key: str, lengths: list[int] | None) -> Callable:
-    """Fingerprints of each row: of its own window length (items), or of all the lengths that items have (documents)."""
+def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, n_words, n_hit, n_items, items (ids, sorted as strings, comma-joined), contaminated and hits (spans of
+    words) of every row of docs(text, ...) against benchmark(item_id, text)."""
+    docs = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = cut(benchmark.mapInArrow(_item_windows, f"item_id {kind}, n int, keys array<binary>, prints array<bigint>"), "decontaminate-items")
+    prints = items.select("n", F.explode("prints").alias("h")).distinct()
+    owned = items.select("item_id", "n", F.explode("keys").alias("key")).distinct()
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most WINDOW values
+    bitmap = _bitmap(prints)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row with a number and its words counted; texts only of those with fingerprints that items may have."""
+        row = block_number()
+        for batch in batch_slices(batches, "_text"):
+            counts, found, texts = [], [], []
+            for text in batch.column("_text").to_pylist():
+                words = words_of(text)
+                counts.append(len(words))
+                found.append(shared_prints(_WORDS.array(words), lengths, bitmap) if lengths and len(words) >= lengths[0] else [])
+                texts.append(text if found[-1] else None)
+            made = [pa.array(range(row, row + len(counts)), pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_PRINT)), pa.array(texts, pa.string())]
+            row += len(counts)
+            kept = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*(n for n in batch.schema.names if n != "_text"), "_row", "n_words", "_prints", "_text"])
+
+    a_print = StructType([StructField("n", IntegerType()), StructField("h", LongType()), StructField("at", IntegerType())])
+    added = [StructField("_row", LongType()), StructField("n_words", LongType()), StructField("_prints", ArrayType(a_print)), StructField("_text", StringType())]
+    scanned = cut(docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], *added])), "decontaminate-rows")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows over the shared fingerprints of each text."""
+        for batch in batch_slices(batches, "_text"):
+            for row, text, shared in zip(*(batch.column(c).to_pylist() for c in ("_row", "_text", "shared"))):
                 words = words_of(text)
-                if not words:
-                    continue
-                x = _stable(words)
-                for n in lengths or [min(WINDOW, len(x))]:
-                    h = np.unique(winnow(x)[1] if n == WINDOW else window_hash(mix(x), n))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k] * len(h), batch.schema.field(key).type), pa.array([text if lengths is None else None] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64))],
-                        names=[key, "text", "n", "h"],
-                    )
-
-    return of
+                starts = {(p["n"], k) for p in shared for k in (range(max(0, p["at"] - WINDOW + GRAM), p["at"] + 1) if p["n"] == WINDOW else [p["at"]])}
+                out = [(row, n, k, _key(words[k : k + n])) for n, k in sorted(starts) if k + n <= len(words)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["_row", "n", "start", "key"])
+
+    candidates = scanned.where(F.size("_prints") > 0)
+    met = candidates.select("_row", F.explode("_prints").alias("p")).select("_row", "p.*").join(prints, ["n", "h"], "left_semi")
+    met = met.groupBy("_row").agg(F.collect_list(F.struct("n", "at")).alias("shared"))  # places of one document
+    windows = candidates.select("_row", "_text").join(met, "_row").mapInArrow(extend, "_row bigint, n int, start int, key binary")
+    hit = cut(windows.join(owned.select("n", "key").distinct(), ["n", "key"], "left_semi"), "decontaminate-hits")
+
+    end = F.col("start") + F.col("n")
+    in_order = Window.partitionBy("_row").orderBy("start", "n")
+    reached = F.coalesce(F.max(end).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = hit.withColumns({"end": end, "first": (F.col("start") > reached).cast("int")}).withColumn("span", F.sum("first").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    covered = spans.groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).cast("bigint").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    named = hit.select("_row", "n", "key").distinct().join(owned.where("item_id IS NOT NULL"), ["n", "key"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+
+    joined = scanned.drop("_prints", "_text").join(covered, "_row", "left").join(named, "_row", "left")
+    no_items, no_hits = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,end:int>>")
+    return joined.select(
+        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(F.coalesce("_items", no_items)).cast("bigint").alias("n_items"),
+        F.array_join(F.coalesce("_items", no_items), ",").alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("hits", no_hits).alias("hits"),
+    )
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -80,15 +80,27 @@ def test_difference_cover():
             assert any((i + d) % 13 in substring_dedup.COVER and (j + d) % 13 in substring_dedup.COVER for d in range(13))
 
 
-@pytest.mark.parametrize("small_bytes", [1 << 24, 0])
-def test_decontamination(spark, awkward, small_bytes):
+@pytest.mark.parametrize("bitmap", [1 << 25, 1 << 15])
+def test_decontamination(spark, awkward, monkeypatch, bitmap):
+    monkeypatch.setattr(decontaminate, "BITMAP", bitmap)
     texts = dict(awkward)
     items = [(1, " ".join(texts[20].split()[5:30])), (2, "One!"), (3, None), (4, "?!"), (5, texts[60].upper()), (5, texts[60]), (6, "w1 w2 w3"), (7, "same " * 12), (None, "b c")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     docs = [*awkward, (200, "w1 w2-w3 ONE")]
-    out = got(decontaminate.digest(decontaminate.find_overlap(clashing(spark, docs), benchmark, small_bytes)))
-    assert out == sorted(decontaminate.brute_force(docs, items), key=key)
+    found = decontaminate.find_overlap(clashing(spark, docs), benchmark)
+    assert got(decontaminate.digest(found)) == (out := sorted(decontaminate.brute_force(docs, items), key=key))
     assert any(x[-1] for x in out) and not all(x[-1] for x in out)
+    assert all(sum(h.end - h.start for h in r.hits) == r.n_hit and all(a.end < b.start for a, b in zip(r.hits, r.hits[1:])) for r in found.collect())
+
+
+def test_decontamination_by_hot_items(spark):
+    """One-word items that most documents hold, many times, and items that share all their windows."""
+    r = random.Random(1)
+    shared = words(5, 30, 10**6)
+    items = [(1, "the"), (2, "of the"), (3, "The!"), *((10 + k, " ".join(shared[k % 3 :])) for k in range(40)), (99, "nowhere at all")]
+    docs = [(i, " ".join(r.choices(["the", "of", "x", "y"], k=200)) if i % 3 else " ".join(words(i, 50) + shared[: 5 + i] + words(i + 1, 20))) for i in range(90)]
+    found = decontaminate.find_overlap(clashing(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got(decontaminate.digest(found)) == sorted(decontaminate.brute_force(docs, items), key=key)
 
 
 def test_decontamination_of_nothing(spark):
