@@ -83,11 +83,15 @@ def _reduce(f: Field, value: Column, order: Sequence[str]) -> Column:
     if f.select == "first_by":
         return F.min_by(value, by)
     if f.select == "nth":
-        rows = F.sort_array(F.collect_list(F.struct(by.alias("o"), value.alias("v"))))
-        return F.get(rows, F.lit(f.n))["v"]
+        return F.min(F.when(F.col(f"_at_{f.target}") == f.n + 1, value))
     return F.min(value)
 
 
+def _placed(df: DataFrame, fields: Sequence[Field], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with the place of each row in its entity, for the fields that take the n-th: a window by the keys that the aggregate groups by."""
+    return df.withColumns({f"_at_{f.target}": F.row_number().over(Window.partitionBy(*keys).orderBy(*(f.order or order))) for f in fields if f.select == "nth"})
+
+
 def execute(tables: Mapping[str, DataFrame], manifest: Manifest, hooks: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame:
     """The target table: entity keys (under their aliases) and fields, one row an entity."""
     if lost := missing_columns(tables, manifest):
@@ -99,12 +103,13 @@ def execute(tables: Mapping[str, DataFrame], manifest: Manifest, hooks: Mapping[
     if manifest.one_row_per_key and not duplicates.duplicate_groups(source, keys).isEmpty():
         raise GrainError(f"{manifest.table} has several rows for a key of {keys}")
     own = [f for f in manifest.fields if f.table in (None, manifest.table)]
-    prepared = source.select(*source.columns, *(_value(f, hooks).alias(f"_{f.target}") for f in own))
+    prepared = _placed(source.select(*source.columns, *(_value(f, hooks).alias(f"_{f.target}") for f in own)), own, keys, source.columns)
     out = prepared.groupBy(*keys).agg(F.count("*").alias("_n"), *(_reduce(f, F.col(f"_{f.target}"), source.columns).alias(f.target) for f in own)).drop("_n")
     for table in dict.fromkeys(f.table for f in manifest.fields if f.table not in (None, manifest.table)):
         some = [f for f in manifest.fields if f.table == table]
         names = some[0].keys or {k: k for k in keys}
         other = tables[table].select(*tables[table].columns, *(_value(f, hooks).alias(f"_{f.target}") for f in some))
+        other = _placed(other, some, list(names.values()), tables[table].columns)
         kinds = dict(out.dtypes)
         reduced = other.groupBy(*(F.col(names[k]).cast(kinds[k]).alias(f"_k_{k}") for k in names)).agg(*(_reduce(f, F.col(f"_{f.target}"), tables[table].columns).alias(f.target) for f in some))
         on = [F.col(k) == F.col(f"_k_{k}") for k in names]

@@ -67,13 +67,13 @@ def hash_split(df: DataFrame, key: str = "student_id", shares: Mapping[str, floa
 
 
 def sample_weights(df: DataFrame, target: str = "target", weights: Mapping | None = None, to: str = "sample_weight") -> DataFrame:
-    """df with balanced weights n / (classes * class size), or those given. Class sizes are a few rows, broadcast back."""
+    """df with balanced weights n / (classes * class size), or those given. Class sizes are joined back, by broadcast if they are small."""
     if weights is not None:
         return df.withColumn(to, C.lookup(target, weights).cast("double"))
     sizes = df.groupBy(target).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     of = sizes.join(F.broadcast(total)).select(target, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(to))
-    return df.join(F.broadcast(of), target)
+    return df.join(of, target)
 
 
 def null_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:

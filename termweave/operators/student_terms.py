@@ -55,8 +55,11 @@ def summary_aggregates(columns: Sequence[str]) -> dict[str, Column]:
     return {out: make(c) for out, (c, make) in made.items() if c in columns}
 
 
-def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Distinct values of category columns, by one aggregate; categories are closed vocabularies and small."""
+def vocabulary(df: DataFrame, columns: Sequence[str], most: int = 1000) -> dict[str, list]:
+    """Distinct values of category columns; raises for a column of more than about that many, before any are gathered."""
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    if large := [c for c in columns if sizes[c] > 1.1 * most]:
+        raise ValueError(f"more than {most} values: {large}")
     row = df.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in columns)).first()
     return {c: row[c] for c in columns}
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> int:
@@ -15,9 +16,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite", expected: int | None = None) -> int:
     """Rows of the table after the write; raises if others than expected (default, when overwriting: those of df) are there."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.format(fmt).mode(mode).saveAsTable(name)
     if expected is None and mode == "overwrite":
-        expected = df.count()
-    df.write.format(fmt).mode(mode).saveAsTable(name)
+        expected = seen.get["n"]  # counted while the rows were written
     there = df.sparkSession.table(name).count()
     if expected is not None and there != expected:
         raise ValueError(f"{name}: {expected} rows expected, {there} there")

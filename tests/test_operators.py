@@ -174,6 +174,40 @@ def test_stream_upserts(spark, tmp_path):
     assert rows(ingest.current(spark, target)) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_stream_upserts_after_a_crash(spark, tmp_path, monkeypatch):
+    """A batch that dies between its data and its manifest leaves the table as it was, and is whole when it runs again."""
+    target, commit = str(tmp_path / "out"), ingest._commit
+    batch = lambda *data: spark.createDataFrame(list(data), "k int, v string")
+    ingest.upsert_batch(batch((1, "a"), (2, "b"), (2, "b")), 0, target, "ck", ["k"])
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest.upsert_batch(batch((2, "c"), (3, "d")), 1, target, "ck", ["k"])
+    assert rows(ingest.current(spark, target)) == [(1, "a"), (2, "b")]
+    ingest.upsert_batch(batch((2, "c"), (3, "d")), 1, target, "ck", ["k"])
+    ingest.upsert_batch(batch((2, "x")), 1, target, "ck", ["k"])  # run again
+    ingest.upsert_batch(batch((9, None)).where("false"), 2, target, "ck", ["k"])
+    ingest.upsert_batch(batch((4, "e")), 0, target, "other", ["k"])
+    assert rows(ingest.current(spark, target)) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
+    assert ingest._commit is commit and ingest.current(spark, str(tmp_path / "none")) is None
+
+
+def test_nth_of_an_entity(spark):
+    from termweave.operators import mapping
+
+    people = spark.createDataFrame([(1,), (2,)], "id int")
+    visits = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "c", 3), (2, "z", 1)], "id int, what string, at int")
+    manifest = mapping.Manifest(table="people", keys=["id"], fields=[mapping.Field("second", "what", "visits", select="nth", n=1, order=["at"]), mapping.Field("first", "what", "visits", select="nth", n=0, order=["at"])])
+    assert rows(mapping.execute({"people": people, "visits": visits}, manifest), "id", "second", "first") == [(1, "b", "a"), (2, None, "z")]
+
+
+def test_vocabulary_is_bounded(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).alias("b"))
+    assert student_terms.vocabulary(df, ["b"]) == {"b": [0, 1, 2]}
+    with pytest.raises(ValueError):
+        student_terms.vocabulary(df, ["a", "b"])
+
+
 def test_modeling(spark):
     from termweave.operators import modeling
 
