@@ -278,9 +278,12 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     node = F.struct("id", "row")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min(node).alias("node"), F.count("*").alias("n_rows"))
     classes = cut(classes, "near-classes")
-    keyed = signed.where("n > 0").select("row", "n", "bands").join(classes.select(F.col("node.row").alias("row")), "row", "left_semi").select("row", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key")
-    members = cut(keyed.join(shared, "key"), "near-buckets")
+    # joins whose sides grow with the corpus are sorted shuffles at every size, so that small runs tell what large ones do
+    keyed = signed.where("n > 0").select("row", "n", "bands").join(classes.select(F.col("node.row").alias("row")).hint("merge"), "row", "left_semi").select("row", "n", F.explode("bands").alias("key"))
+    # one shuffle for counts and members, as both read the same columns
+    keyed, each = keyed.repartition(F.col("key")), F.struct("row", "n")
+    shared = keyed.groupBy("key").agg(F.min(each).alias("low"), F.max(each).alias("high")).where("low < high").select("key")
+    members = cut(keyed.join(shared.hint("merge"), "key"), "near-buckets")
     # buckets of the same classes are looked at once
     content = members.groupBy("key").agg(F.struct(F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1))), F.count("*")).alias("content"))
     once = content.groupBy("content").agg(F.min("key").alias("key")).select("key")
@@ -288,11 +291,11 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rows = cut(members.select("row").distinct(), "near-rows")
     sketches = cut(sketches.join(F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows, "row", "left_semi"), "near-texts")
     dealt = _dealt(members.join(once, "key", "left_semi"), "key", F.col("n") / 2 + OVERHEAD, BUCKET_BYTES)
-    candidates = cut(_candidates(dealt.join(sketches.select("row", "sketch"), "row"), percent), "near-candidates")
+    candidates = cut(_candidates(dealt.join(sketches.select("row", "sketch").hint("merge"), "row"), percent), "near-candidates")
 
     units = components(candidates).select(F.col("node").alias("row"), F.col("root").alias("unit"))
     of_unit = _dealt(units.join(signed.select("row", "n"), "row"), "unit", F.col("n") + OVERHEAD, UNIT_SHINGLES)
-    links = cut(_links(of_unit.join(sketches.select("row", "id", "text"), "row"), size, percent), "near-links")
+    links = cut(_links(of_unit.join(sketches.select("row", "id", "text").hint("merge"), "row"), size, percent), "near-links")
     roots = components(links)
 
     of_set = classes.join(roots, "node", "left").select("set_key", "n_rows", "node", F.coalesce("root", "node").alias("root"))
@@ -302,7 +305,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hot = of_set.where(F.col("n_rows") > max(HOT_ROWS, signed.count() // HOT_CLASSES)).select("set_key", F.col("root").alias("hot_root"))
     placed = placed.join(F.broadcast(hot), "set_key", "left")
     rest = F.col("hot_root").isNull() & F.col("set_key").isNotNull()
-    joined = placed.where(rest).join(of_set.select("set_key", "root"), "set_key", "left")
+    joined = placed.where(rest).join(of_set.select("set_key", "root").hint("merge"), "set_key", "left")
     return joined.select("row", "id", "n", "root").unionByName(placed.where(~rest).select("row", "id", "n", F.col("hot_root").alias("root")))
 
 
