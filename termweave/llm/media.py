@@ -41,6 +41,8 @@ LEAST_MATCHES = 4
 INLIERS = 5
 SIDE = 96
 EVERY = 100
+#: Edited copies that the query adds of each picture that it searches for.
+EDITS = 3
 #: Descriptors of queries, with their table keys, that are broadcast at most (about 64 bytes each); beyond, tables are joined by shuffles.
 SMALL = 500_000
 #: Corners that are described at a time, and pixels of pictures of one shape.
@@ -265,20 +267,26 @@ def edited(pixels: np.ndarray, how: int) -> np.ndarray:
     return np.clip(resize(pixels[None], 4 / 3)[0] * 0.85 + 10, 0, 255)
 
 
-def rendered(embeddings: DataFrame, every: int = EVERY) -> DataFrame:
-    """A media table (image_id, image) of every row of embeddings(vec_id, embedding): a picture of the vector; of the rows
-    after each query row, the first three are edited copies of that row's picture."""
+def rendered(embeddings: DataFrame, every: int = EVERY, edits: int = EDITS) -> DataFrame:
+    """A media table (image_id, image) of embeddings(vec_id, embedding): a picture of each row's vector, and edited copies of those
+    of every so many rows. image_id is vec_id * (edits + 1), and that plus the number of the edit for a copy."""
     spread = max(1, -(-embeddings.count() // TASK_ROWS))  # vectors are small and pictures are not
-    rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
-    how = F.when((F.col("vec_id") % every).between(1, 3), F.col("vec_id") % every).otherwise(0).cast("int")
-    rows = rows.withColumn("how", how).withColumn("base", F.when(F.col("how") > 0, F.col("vec_id") - F.col("how")))
-    bases = rows.where((F.col("vec_id") % every == 0)).groupBy(F.col("vec_id").alias("base")).agg(F.min("embedding").alias("of_base"))
-    rows = rows.join(bases, "base", "left").select("vec_id", F.coalesce("of_base", "embedding").alias("v"), F.when(F.col("of_base").isNotNull(), F.col("how")).otherwise(0).alias("how")).repartition(spread)
+    rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).repartition(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors, hows = (c.to_pylist() for c in batch.columns)
-            images = [encode(edited(picture(v), how) if how else picture(v)) for v, how in zip(vectors, hows)]
+            ids, images = [], []
+            for i, vector in zip(*(c.to_pylist() for c in batch.columns)):
+                pixels = picture(vector)
+                copies = range(1, edits + 1) if i is not None and i % every == 0 else ()
+                ids += [None if i is None else i * (edits + 1) + how for how in (0, *copies)]
+                images += [encode(pixels), *(encode(edited(pixels, how)) for how in copies)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
 
     return rows.mapInArrow(run, "image_id bigint, image binary")
+
+
+def report(embeddings: DataFrame, every: int = EVERY, edits: int = EDITS) -> DataFrame:
+    """find_copies() of rendered(), with the rows' vec_id and the number of the edit (0: the picture itself)."""
+    found = find_copies(rendered(embeddings, every, edits), every * (edits + 1))
+    return found.withColumns({"vec_id": F.floor(F.col("image_id") / (edits + 1)).cast("bigint"), "edit": F.pmod("image_id", F.lit(edits + 1)).cast("int")})

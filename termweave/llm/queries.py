@@ -52,7 +52,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.find_copies(media.rendered(_table(spark, sf_dir, "embeddings")))
+    return media.report(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_token_counts, op4_near_dedup, op5_secrets, op6_warc, op7_bpe, op8_decontamination, op9_substring_dedup, op10_media)}

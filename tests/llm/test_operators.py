@@ -508,6 +508,40 @@ def test_media(spark):
     assert media.find_copies(spark.createDataFrame([], "image_id bigint, image binary")).count() == 0
 
 
+def test_media_query(spark):
+    """Every embedding is rendered as it is; each query picture finds its own edits and equal vectors, by a brute force over all pairs."""
+    r = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in r.normal(size=8)]) for i in range(220)]
+    vectors += [(300, vectors[5][1]), (301, vectors[100][1]), (None, vectors[1][1]), (7, None)]
+    df = spark.createDataFrame([(*v, 1, "d") for v in vectors], "vec_id bigint, embedding array<float>, label int, digest string")
+    out = media.report(df).collect()
+    assert len(out) == len(vectors) + 3 * 4 and sorted(x.vec_id for x in out if x.edit == 0 and x.vec_id is not None) == sorted(i for i, _ in vectors if i is not None)
+    pictures = {x.image_id: media.picture([np.float32(e) for e in dict(vectors)[x.vec_id]]) for x in out if x.image_id is not None and x.vec_id != 7}
+    pictures |= {x.image_id: media.edited(pictures[4 * x.vec_id], x.edit) for x in out if x.edit}
+    seen = {i: media.decode(media.encode(p)) for i, p in pictures.items()}
+    classes = {}
+    for i in sorted(seen):
+        classes.setdefault(seen[i].tobytes(), i)
+    of = {x.image_id: x for x in out if x.image_id in seen}
+    assert all(of[i].class_id == classes[seen[i].tobytes()] for i in seen)
+    points = {i: media.describe(seen[i][None])[0] for i in classes.values()}
+
+    def matches(a, b):
+        near = []
+        for qx, qy, qs, qa, q0, q1 in points[a]:
+            for x, y, s, t, d0, d1 in points[b]:
+                words = [np.array([u, v], np.int64).view(np.uint16) for u, v in ((q0, q1), (d0, d1))]
+                if (words[0] == words[1]).any() and sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in ((q0, d0), (q1, d1))) <= media.FAR:
+                    near.append((qx, qy, qs, qa, x, y, s, t))
+        return len(set(near)) >= media.LEAST_MATCHES and media.agree(np.array(sorted(set(near)), np.float32).astype(float)) >= media.INLIERS
+
+    for i in (0, 400, 800, 1200):
+        own = classes[seen[i].tobytes()]
+        others = {0, 1, 2, 3, 20, 400, 401, 402, 403, 800, 801, 802, 803, 1200, 1201, 1202, 1203, 1204, 44, 48, 52} & set(points) - {own}
+        assert {x for x in of[i].matches if x in others} == {x for x in others if matches(own, x)} and of[i].is_query
+        assert {i + 1, i + 2, i + 3} <= set(of[i].matches)
+
+
 def test_media_of_small_crops_and_odd_scales(spark):
     rows = []
     for i in range(3):
