@@ -44,9 +44,10 @@ DOCUMENT_SAMPLE = 2000
 RANDOM_SAMPLE = 20000
 FIRST, LAST = ord("+"), ord("z")
 WIDTH = LAST - FIRST + 1
-#: What fixed patterns find, and runs that stop where one of those begins (possessive: no recursion on long runs).
+#: What fixed patterns find, and runs that stop where one of those begins (possessive: no recursion on long runs; the
+#: lookahead spares short words the slower part).
 BASE = "|".join([PATTERNS["assign"][:-1].removesuffix("+") + "{%d,})" % LEAST_VALUE, PATTERNS["access"], PATTERNS["hex"]])
-RUN = rf"(?:(?!{BASE})[A-Za-z0-9+/_-]){{{LEAST_RUN},}}+"
+RUN = rf"(?=[A-Za-z0-9+/_-]{{{LEAST_RUN}}})(?:(?!{BASE})[A-Za-z0-9+/_-]){{{LEAST_RUN},}}+"
 #: Elements of a block of a running total, and characters of a block of text.
 BLOCK, TEXT_BLOCK = 128, 4096
 
