@@ -28,10 +28,12 @@ _TEST_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not _TEST_DIR:
         _TEST_DIR.append("file://" + tempfile.mkdtemp(prefix="termweave-"))
     return _TEST_DIR[0]
@@ -53,6 +55,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session may be gone at exit
+        pass
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
@@ -60,6 +69,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession, data: bytes, name: str) -> str:
+    """Bytes as a file of the shared folder that every executor fetches once; SparkFiles.get() finds it there by the name returned."""
+    path = fresh_path(spark, name)
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
 def cut(df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
@@ -67,6 +87,15 @@ def cut(df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """cut() as a table of files by hash of a key: what is grouped or joined by the key later is not shuffled again."""
+    spark, path, table = df.sparkSession, fresh_path(df.sparkSession, name), f"termweave_{uuid.uuid4().hex}"
+    buckets = max(1, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    atexit.register(_forget, spark, table)
+    return spark.table(table)
+
+
 def hash_sample(keys: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows of keys, those with the smallest hash of the key. A threshold on the hash leaves about 2 n rows to sort."""
     total = keys.count()

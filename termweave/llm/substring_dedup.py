@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, block_number, cut, slices, window_hash
+from .common import WordHash, block_number, cut_by, slices, window_hash
 
 WINDOW = 20
 PERIOD = 13
@@ -33,6 +33,9 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose anchors and windows meet in one bucket: hashes are dealt out by volume, so that what a block sends to a
+#: bucket does not become small with the number of blocks.
+BUCKET_BYTES = 32 << 20
 SECOND_BASE = 0xD1342543DE82EF95
 LAST = np.iinfo(np.int64).max
 
@@ -40,7 +43,7 @@ _WORDS = WordHash()
 
 
 def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block_id, ids, texts): neighbouring rows packed to about block_bytes; a longer text has a block of its own."""
+    """(block_id, ids, texts, size): neighbouring rows packed to about block_bytes; a longer text has a block of its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, held = block_number(), [], [], 0
@@ -48,8 +51,8 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         def row() -> pa.RecordBatch:
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
             return pa.RecordBatch.from_pydict(
-                {"block_id": [number], "ids": [[ids[i] for i in order]], "texts": [[texts[i] for i in order]]},
-                schema=pa.schema([("block_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))]),
+                {"block_id": [number], "ids": [[ids[i] for i in order]], "texts": [[texts[i] for i in order]], "size": [held]},
+                schema=pa.schema([("block_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("size", pa.int64())]),
             )
 
         for some_ids, some_texts in slices(batches, ("doc_id", "text"), "text"):
@@ -65,7 +68,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield row()
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return plain.mapInArrow(pack, "block_id bigint, ids array<bigint>, texts array<string>")
+    return plain.mapInArrow(pack, "block_id bigint, ids array<bigint>, texts array<string>, size bigint")
 
 
 class Block:
@@ -162,10 +165,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return rows
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row of docs(doc_id, text)."""
-    blocks = cut(text_blocks(docs, block_bytes), "substring-blocks")
-    buckets = max(1, blocks.count())
+    packed = text_blocks(docs, block_bytes)
+    # blocks are written by their number, two files' worth a partition read, and stay where they are: only hashes are shuffled
+    written = cut_by(packed, "substring-blocks", "block_id", 2 * packed.rdd.getNumPartitions())
+    buckets = max(1, -(-(written.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
+    blocks = written.drop("size")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
