@@ -53,7 +53,7 @@ def display_names(df: DataFrame, table: DataFrame, feature: str = "feature") ->
     """df with the display name of a lookup table (pattern, name): an equal name, else the first pattern that matches whole."""
     exact = df.join(F.broadcast(table.select(F.col("pattern").alias(feature), F.col("name").alias("_exact"))), feature, "left")
     rules = table.agg(F.sort_array(F.collect_list(F.struct("pattern", "name"))).alias("_rules"))  # one row
-    hit = F.filter("_rules", lambda r: F.col(feature).rlike(F.concat(F.lit("^(?:"), r["pattern"], F.lit(")$"))))
+    hit = F.filter("_rules", lambda r: F.rlike(F.col(feature), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")$"))))
     return exact.join(F.broadcast(rules)).withColumn("display_name", F.coalesce("_exact", F.get(hit, F.lit(0))["name"], F.col(feature))).drop("_exact", "_rules")
 
 

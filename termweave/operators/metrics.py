@@ -101,8 +101,8 @@ def bias_scores(flags: DataFrame, by: Sequence[str] = ("split",), levels: Sequen
     for name, _, _, w in levels:
         weight = weight.when(F.col("flag") == name, w)
     x = flags.withColumn("_w", weight)
-    score, valid = F.coalesce(F.round(F.sum(F.col("_w") * F.col("difference")), 4), F.lit(0.0)), F.count_if(F.col("flag") != K.FEW_DATA)
-    return x.groupBy(*by).agg(score.alias("bias_score_sum"), F.coalesce(F.round(F.try_divide(score, valid), 4), F.lit(0.0)).alias("bias_score_mean"), F.coalesce(F.round(F.max(F.when(F.col("_w").isNotNull(), F.col("difference"))), 4), F.lit(0.0)).alias("bias_score_max"), F.count("_w").alias("num_bias_flags"), valid.alias("num_valid_comparisons"))
+    score, valid = F.coalesce(F.round(F.round(F.sum(F.col("_w") * F.col("difference")), 8), 4), F.lit(0.0)), F.count_if(F.col("flag") != K.FEW_DATA)
+    return x.groupBy(*by).agg(score.alias("bias_score_sum"), F.coalesce(F.round(F.round(F.try_divide(score, valid), 8), 4), F.lit(0.0)).alias("bias_score_mean"), F.coalesce(F.round(F.max(F.when(F.col("_w").isNotNull(), F.col("difference"))), 4), F.lit(0.0)).alias("bias_score_max"), F.count("_w").alias("num_bias_flags"), valid.alias("num_valid_comparisons"))
 
 
 def kolmogorov_tail(d: Column, n: Column, m: Column, terms: int = 20) -> Column:

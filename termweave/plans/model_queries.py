@@ -160,7 +160,7 @@ def bias_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("split", "subgroup_a", "subgroup_b", "difference", "overlap", "flag", "type")
 
 
-@query(_BIAS + _FLAGS + ", y AS (SELECT split, round(d,4) d, flag, CASE flag WHEN '🔴 HIGH BIAS' THEN 1.0 WHEN '🟠 MODERATE BIAS' THEN 0.75 WHEN '🟡 LOW BIAS' THEN 0.25 END w FROM p), u AS (SELECT split, coalesce(round(sum(w*d),4),0) s, count(*) FILTER (flag<>'⚪ INSUFFICIENT DATA') n, count(w) k, coalesce(round(max(d) FILTER (w IS NOT NULL),4),0) m FROM y GROUP BY 1) SELECT split, s bias_score_sum, coalesce(round(s/nullif(n,0),4),0) bias_score_mean, m bias_score_max, k num_bias_flags, n num_valid_comparisons FROM u")
+@query(_BIAS + _FLAGS + ", y AS (SELECT split, round(d,4) d, flag, CASE flag WHEN '🔴 HIGH BIAS' THEN 1.0 WHEN '🟠 MODERATE BIAS' THEN 0.75 WHEN '🟡 LOW BIAS' THEN 0.25 END w FROM p), u AS (SELECT split, coalesce(round(round(sum(w*d),8),4),0) s, count(*) FILTER (flag<>'⚪ INSUFFICIENT DATA') n, count(w) k, coalesce(round(max(d) FILTER (w IS NOT NULL),4),0) m FROM y GROUP BY 1) SELECT split, s bias_score_sum, coalesce(round(round(s/nullif(n,0),8),4),0) bias_score_mean, m bias_score_max, k num_bias_flags, n num_valid_comparisons FROM u")
 def bias_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bias_scores(metrics.flag_bias(metrics.group_bias(_biased(spark, sf_dir), "segment")))
 
