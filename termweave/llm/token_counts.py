@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabularies
-from .common import block_number, cut, slices
+from .common import block_number, cut_by, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_BYTES = 8 << 20
+#: Bytes of pre-tokens that meet in one bucket: buckets follow the volume of the vocabularies and not the number of blocks.
+BUCKET_BYTES = 8 << 20
 LIMIT = 1024
 
-_BLOCK = pa.schema([("block_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("frequencies", pa.binary()), ("vocabulary", pa.list_(pa.string()))])
-_BLOCK_DDL = "block_id bigint, ids array<bigint>, n_bytes array<bigint>, specials array<int>, sizes array<int>, frequencies binary, vocabulary array<string>"
+_BLOCK = pa.schema([("block_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("frequencies", pa.binary()), ("vocabulary", pa.list_(pa.string())), ("size", pa.int64())])
+_BLOCK_DDL = "block_id bigint, ids array<bigint>, n_bytes array<bigint>, specials array<int>, sizes array<int>, frequencies binary, vocabulary array<string>, size bigint"
 
 
 def _one(values, kind: pa.DataType) -> pa.Array:
@@ -59,7 +61,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.int64), times
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of docs(doc_id, text); path: the vocabulary file, there on all executors."""
     path = path or vocabularies.default_path(VOCABULARY)
 
@@ -88,7 +90,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, block_bytes: int = BL
                 up = np.argsort(a)
                 at[k], times[k] = a[up], times[k][up]
             blob = _packed(np.concatenate(at), np.concatenate(times))
-            columns = [pa.array([number], pa.int64()), _one(ids, pa.int64()), _one(n_bytes, pa.int64()), _one(found, pa.int32()), _one([len(a) for a in at], pa.int32()), pa.array([blob], pa.binary()), _one([pieces[i] for i in order], pa.string())]
+            columns = [pa.array([number], pa.int64()), _one(ids, pa.int64()), _one(n_bytes, pa.int64()), _one(found, pa.int32()), _one([len(a) for a in at], pa.int32()), pa.array([blob], pa.binary()), _one([pieces[i] for i in order], pa.string()), pa.array([sum(map(len, pieces)) + 8 * len(pieces)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=_BLOCK)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +131,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, block_bytes: int = BL
         return _unpacked(blob) if sum(sizes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    blocks = cut(plain.mapInArrow(split, _BLOCK_DDL), "token-blocks")
-    bits = max(1, blocks.count()).bit_length()
+    packed = plain.mapInArrow(split, _BLOCK_DDL)
+    blocks = cut_by(packed, "token-blocks", "block_id", 2 * packed.rdd.getNumPartitions())  # frequencies are not shuffled
+    bits = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // bucket_bytes)).bit_length()
     sent = blocks.select("block_id", "vocabulary").mapInArrow(send, "bucket bigint, block_id bigint, pieces array<string>")
     counts = sent.groupBy("bucket").applyInArrow(count, "bucket bigint, block_id bigint, counts array<int>")
-    return blocks.drop("vocabulary").groupBy("block_id").cogroup(counts.groupBy("block_id")).applyInArrow(total, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return blocks.drop("vocabulary", "size").groupBy("block_id").cogroup(counts.groupBy("block_id")).applyInArrow(total, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def with_limit(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
