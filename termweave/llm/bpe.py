@@ -3,7 +3,7 @@
 Word counts over the whole corpus give the FREQUENT most frequent words (a fixed bound on what reaches the driver and
 its executors; it changes speed, never results). They are compiled into a minimal acyclic automaton: words share
 prefixes and suffixes, and arcs carry integer outputs whose sum along a word's path numbers the word's id sequence.
-Executors memory-map the compiled file. A word outside it is merged exactly by the vocabulary's own merges.
+Each executor fetches the compiled file once, and all its workers map it. A word outside it is merged exactly by the vocabulary's own merges.
 
 Defined results: null text is empty (no tokens; it decodes to the empty text); special strings in texts get their ids, as
 the library's default has it; repeated rows are encoded one by one; empty tables give no rows.
@@ -15,19 +15,19 @@ import hashlib
 import mmap
 import os
 import struct
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import vocabularies
-from .common import batch_slices, cut, slices
+from .common import batch_slices, cut, ship, slices
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT = 1 << 15
@@ -104,17 +104,11 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, memory-mapped from a file of its own that is unlinked at once."""
-
-    def __init__(self, compiled: bytes) -> None:
-        handle, path = tempfile.mkstemp(prefix="lexicon")
-        try:
-            with os.fdopen(handle, "wb") as file:
-                file.write(compiled)
-            with open(path, "rb") as file:
-                self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        finally:
-            os.unlink(path)
+    """A compiled lexicon in a file, memory-mapped: the workers of an executor share its pages."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as file:
+            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, *sizes = struct.unpack_from("<8i", self.map)
         at = 32
         arrays = []
@@ -152,8 +146,8 @@ _LETTERS = _byte_letters()
 class Codec:
     """Encoder and decoder of one process."""
 
-    def __init__(self, path: str, compiled: bytes | None) -> None:
-        self.path, self.lexicon = path, Lexicon(compiled) if compiled else None
+    def __init__(self, path: str, lexicon: str | None) -> None:
+        self.path, self.lexicon = path, Lexicon(lexicon) if lexicon else None
         tokenizer = vocabularies.load(path)
         self.model = tokenizer.model
         self.marks = vocabularies.specials(path)
@@ -197,11 +191,12 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(path: str, compiled) -> Codec:
-    key = (path, hashlib.sha1(compiled.value).digest() if compiled else None)
+def _codec(path: str, shipped: str | None) -> Codec:
+    """The codec of this process, with the lexicon of that name among the files that executors have fetched."""
+    key = (path, shipped)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(path, compiled.value if compiled else None)
+        _CODECS[key] = Codec(path, SparkFiles.get(shipped) if shipped else None)
     return _CODECS[key]
 
 
@@ -245,10 +240,10 @@ def lexicon_of(docs: DataFrame, path: str, n: int = FREQUENT) -> bytes:
 
 def _mapped(docs: DataFrame, path: str | None, row, schema: list[tuple], ddl: str, n: int) -> DataFrame:
     path = path or vocabularies.default_path(VOCABULARY)
-    compiled = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, path, n))
+    shipped = ship(docs.sparkSession, lexicon_of(docs, path, n), "lexicon")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, compiled)
+        codec = _codec(path, shipped)
         for ids, texts in slices(batches, ("doc_id", "text"), "text"):
             columns = zip(*(row(codec, t) for t in texts))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(columns, schema))], names=["doc_id", *(k for k, _ in schema)])
@@ -264,11 +259,11 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
 def with_ids(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """docs with ids and n_tokens beside its columns, which replace clashing ones."""
     path = path or vocabularies.default_path(VOCABULARY)
-    compiled = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, path, frequent))
+    shipped = ship(docs.sparkSession, lexicon_of(docs, path, frequent), "lexicon")
     packed = docs.select(F.struct("*").alias("_doc"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, compiled)
+        codec = _codec(path, shipped)
         for batch in batch_slices(batches, "_text"):
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["_doc", "ids"])

@@ -9,7 +9,7 @@ learnt from: crc32 of the doc_id as text, modulo 5, is not 0. Labels are looked
 doc_id are never features. Fitting needs memory for the sample only, scoring for one slice of texts.
 
 Defined results: null text is empty and scores as the intercept does; a doc_id with several labels is toxic if one of
-them says so; labels without a document, or null, are ignored; without labels of both kinds every score is the share of
+them says so, and is learnt from by its smallest text; labels without a document, or null, are ignored; without labels of both kinds every score is the share of
 toxic ones (0 without any); repeated rows are scored one by one; empty tables give no rows; a null doc_id is not held
 out.
 """
@@ -129,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     that matter; the driver sees no more than these."""
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).dropna().where(~held_out())
     chosen = hash_sample(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "doc_id", sample)
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    texts = cut(texts, "toxicity-sample")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    # one text of each doc_id, so that rows that repeat one do not pass the bound
+    texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
     ones, every = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     counts = texts.mapInArrow(_counts, "feature int, in_toxic bigint, in_other bigint").groupBy("feature").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
     ratio = F.log((F.col("a") + 1) / (ones + 2)) - F.log((F.col("b") + 1) / (every - ones + 2))

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -52,10 +53,10 @@ def awkward():
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 3000])
-def test_substring_dedup(spark, awkward, block_bytes):
+@pytest.mark.parametrize("block_bytes, bucket_bytes", [(8 << 20, 32 << 20), (3000, 50_000), (3000, 1000)])
+def test_substring_dedup(spark, awkward, block_bytes, bucket_bytes):
     rows = [x for x in awkward if x[0] != 9] + [(9, "x" * 50_000)]
-    assert got(substring_dedup.digest(substring_dedup.remove_repeats(clashing(spark, rows), block_bytes))) == sorted(substring_dedup.brute_force(rows), key=key)
+    assert got(substring_dedup.digest(substring_dedup.remove_repeats(clashing(spark, rows), block_bytes, bucket_bytes))) == sorted(substring_dedup.brute_force(rows), key=key)
 
 
 def test_substring_repeated_rows(spark):
@@ -202,8 +203,8 @@ def test_token_counts(spark, awkward):
     tokenizer = vocabularies.load(vocabularies.default_path(token_counts.VOCABULARY))
     rows = [*awkward, (300, "a՘bᲉ \U000187f8"), (301, "  two  spaces\n\n\nlines ")]
     want = [(i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in rows]
-    for block in (1 << 20, 500):
-        assert got(token_counts.with_limit(token_counts.count_tokens(clashing(spark, rows), block_bytes=block))) == sorted(want, key=key)
+    for block, bucket in ((1 << 20, 8 << 20), (500, 20_000), (500, 500)):
+        assert got(token_counts.with_limit(token_counts.count_tokens(clashing(spark, rows), None, block, bucket))) == sorted(want, key=key)
     assert token_counts.count_tokens(clashing(spark, [])).count() == 0
 
 
@@ -224,12 +225,17 @@ def test_bpe(spark, awkward):
     assert tagged.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and got(tagged.select("doc_id", "n_tokens")) == sorted(((i, n) for i, n, *_ in want), key=key)
 
 
-def test_lexicon():
+def test_lexicon(tmp_path):
+    def mapped(entries):
+        file = tmp_path / f"{len(list(tmp_path.iterdir()))}"
+        file.write_bytes(bpe.compile_lexicon(entries))
+        return bpe.Lexicon(str(file))
+
     entries = {w.encode(): [i, i + 1] for i, w in enumerate(["a", "ab", "abc", "xbc", "xb", "é", "tion", "station", "nation"])}
-    lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
+    lexicon = mapped(entries)
     assert all(lexicon.get(w) == ids for w, ids in entries.items())
     assert lexicon.get(b"") is None and lexicon.get(b"abcd") is None and lexicon.get(b"sta") is None
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None
+    assert mapped({}).get(b"a") is None
     many = {f"{a}{b}ing".encode(): [1] for a in range(30) for b in range(30)}
     assert len(bpe.compile_lexicon(many)) < len(bpe.compile_lexicon({w[::-1]: [1] for w in many})) + 10_000
 
@@ -361,6 +367,46 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out.values())
 
 
+def test_toxicity_by_brute_force(spark):
+    """Features, log-count ratios and scores against plain loops over character n-grams."""
+    rows, labels = toxic_rows(200)
+    rows += [(500, "Ünïcode grumblesnark -- 12 x"), (501, None), (502, "a")]
+    docs, table = clashing(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model, mask = toxicity.fit(docs, table), (1 << 64) - 1
+
+    def scrambled(h):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & mask
+        return h ^ h >> 31
+
+    def grams(text):
+        plain = re.sub(r"[^\W\d_]+", lambda m: m[0], (text or "").lower())
+        plain = " " + re.sub(r"[\W\d_]+", " ", plain).strip() + " " if re.search(r"[^\W\d_]", plain) else " "
+        found = set()
+        for n in toxicity.ORDERS:
+            for k in range(len(plain) - n + 1):
+                h = n
+                for c in plain[k : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                found.add(scrambled(h) >> 64 - toxicity.BITS)
+        return found
+
+    held = {r.doc_id for r in toxicity.report(docs, table).collect() if r.held_out}
+    training = [(grams(t), labels[i][2]) for i, t in rows if i < 200 and i not in held]
+    ones = sum(y for _, y in training)
+    expected = {}
+    for f in set().union(*(g for g, _ in training)):
+        a, b = (sum(f in g for g, y in training if y == k) for k in (1, 0))
+        ratio = np.log((a + 1) / (ones + 2)) - np.log((b + 1) / (len(training) - ones + 2))
+        if a + b >= toxicity.LEAST_DOCUMENTS and abs(ratio) >= toxicity.LEAST_RATIO:
+            expected[f] = ratio
+    assert model.at.tolist() == sorted(expected)
+    weight = dict(zip(model.at.tolist(), model.weights.tolist()))
+    for r in toxicity.report(docs, table).collect():
+        margin = model.intercept + sum(weight.get(f, 0.0) for f in grams(dict(rows)[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [r.predicted for r in toxicity.report(clashing(spark, [(1, "a"), (2, None)]), none).collect()] == [0, 0]

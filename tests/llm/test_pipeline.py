@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from termweave.llm import bpe, decontaminate, near_dedup, secrets, toxicity, vocabularies
 
@@ -47,7 +49,42 @@ def test_run_matches_brute_force(spark, tmp_path):
         else:
             assert out[i].text == t
         assert out[i].ids == codec.encode(out[i].text) and out[i].n_tokens == len(out[i].ids)
-        assert out[i].n_chars == (len(out[i].text) if t is not None else None)
+        assert out[i].n_chars == len(out[i].text or "")
+
+
+CLASHING = "_doc _text _row row score predicted contaminated hits _in _spans _base id text_ key part _prints bucket set_key".split()
+NAMED = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Labels and a benchmark that leave the awkward documents alone."""
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "unseen words of an item that no document has at all"), (2, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *CLASHING) for i, t in rows], NAMED)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_by_themselves(spark, folder, name, stage):
+    """Nulls, empty and long texts, repeated rows and clashing names: what stays, and that it stays as it was."""
+    long = " ".join(f"long{k}" for k in range(30_000))
+    rows = [(None, "a null id"), (10, None), (11, ""), (12, " \n"), (13, "one"), (14, long), (15, "repeated row of words"), (15, "repeated row of words"), (16, None), (None, "another null id")]
+    out = stage(spark, table(spark, rows), folder)
+    assert out.columns[: len(CLASHING) + 5] == table(spark, []).columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    expected = rows[:7] + rows[8:] if name == "near_duplicates" else rows
+    assert kept == sorted(expected, key=str)
+    assert all([r[c] for c in CLASHING] == CLASHING and r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_nothing(spark, folder, name, stage):
+    assert stage(spark, table(spark, []), folder).count() == 0
 
 
 def test_stages_keep_columns(spark):
