@@ -156,13 +156,33 @@ def course_checks() -> dict[tuple[str, str], Column]:
     }
 
 
-def clean(df: DataFrame, keys: Sequence[str] = (), aliases: Mapping[str, str] | None = None, tokens: Sequence[str] = K.NULL_TOKENS, drop: Sequence[str] = (), non_null: Sequence[str] = (), types: Mapping[str, str] | None = None, hook: Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] | None = None, term: str | None = None) -> DataFrame:
+#: Names of the learner's column, and the alias that raw files use where no other is given.
+LEARNERS, ALIAS = ("student_id", "learner_id"), "student_id_randomized_datakind"
+
+
+def learner_names(columns: Sequence[str], learner: str = "student_id", alias: str | None = None) -> dict[str, str]:
+    """How to rename columns so that the learner's has its canonical name: from the alias, or from student_id to learner_id."""
+    sources = [alias or ALIAS, *(["student_id"] if learner == "learner_id" else [])]
+    return next(({c: learner} for c in sources if c in columns and c != learner), {}) if learner not in columns else {}
+
+
+def clean(
+    df: DataFrame, keys: Sequence[str] = (), aliases: Mapping[str, str] | None = None, tokens: Sequence[str] = K.NULL_TOKENS, drop: Sequence[str] = (), non_null: Sequence[str] = (),
+    types: Mapping[str, str] | None = None, hook: Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] | None = None, term: str | None = None,
+    contract: Mapping | None = None, learner: str = "student_id", learner_alias: str | None = None,
+) -> DataFrame:
     """The cleaning chain: names, aliases, nulls, columns and rows to drop, types, distinct rows, a hook (then distinct
-    again), one row a key, term order."""
+    again), one row a key, term order.
+
+    A frozen contract gives the types of the columns that it names, before rows are compared, as when it was made. The
+    learner's column gets its canonical name (in keys too), stays text and is never dropped."""
     out = names.rename_some(names.rename_all(df), aliases or {})
-    out = drop_present(nulls(out, tokens), drop)
+    renamed = learner_names(out.columns, learner, learner_alias)
+    out, keys = out.withColumnsRenamed(renamed), [renamed.get(k, k) for k in keys]
+    out = drop_present(nulls(out, tokens), [c for c in drop if c not in LEARNERS])
     out = out.dropna(subset=list(non_null)) if non_null else out
-    out = out.withColumns({c: typed(c, t) for c, t in (types or {}).items() if c in out.columns and t != "string"}) if types else out
+    types = ({c["name"]: c["dtype"] for c in contract["columns"]} if contract else {}) | dict(types or {})
+    out = out.withColumns({c: typed(c, t) for c, t in types.items() if c in out.columns and t != "string" and not (contract and c == learner)}) if types else out
     out = out.distinct()
     out = hook(out).distinct() if hook else out
     out = duplicates.keep_one(out, keys, order or out.columns) if keys else out

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import columns as C
 from termweave.functions import constants as K
 
+LOGGER = logging.getLogger(__name__)
+
 
 def merge_labelled(checkpoint: DataFrame, selected: DataFrame, target: DataFrame | None = None, student: Sequence[str] = ("student_id",)) -> DataFrame:
     """Checkpoint rows of selected students, with their target if there is one."""
@@ -163,6 +168,64 @@ def newly_missing(train: DataFrame, now: DataFrame, columns: Sequence[str], shar
     return found if len(found) >= least else []
 
 
+@dataclass
+class Imputer:
+    """The state of an imputation: fitted on training rows, kept as JSON, applied to any later ones."""
+
+    features: list[str] = field(default_factory=list)
+    types: dict[str, str] = field(default_factory=dict)
+    values: dict[str, object] = field(default_factory=dict)
+    flagged: list[str] = field(default_factory=list)
+    on_new_missing: str = "warn"
+    least_columns: int = 3
+    least_share: float = 0.5
+
+    def fit(self, df: DataFrame, features: Sequence[str] | None = None) -> Imputer:
+        """Fill values of every feature (constants where all are null), and which had nulls; two aggregates."""
+        self.features = list(features or df.columns)
+        self.types = {c: k for c, k in df.dtypes if c in self.features}
+        numeric = [c for c in self.features if self.types[c] not in ("string", "boolean")]
+        found = imputation_values(df, numeric, [c for c in self.features if c not in numeric])
+        constant = lambda c: False if self.types[c] == "boolean" else "missing" if self.types[c] == "string" else 0 if self.types[c] in ("int", "bigint", "smallint", "tinyint") else 0.0
+        self.values = {c: constant(c) if found[c] is None else found[c] for c in self.features}
+        self.flagged = [r.feature for r in null_shares(df, self.features).where("null_share > 0").collect()]
+        return self
+
+    def new_missing(self, df: DataFrame) -> dict[str, float]:
+        """Null shares of the features that had no nulls when fitted and have some now."""
+        clean = [c for c in self.features if c not in self.flagged]
+        return {r.feature: r.null_share for r in null_shares(df, clean).where("null_share > 0").collect()} if clean else {}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with features filled in their own types, a *_missing_flag for each that had nulls when fitted, and its other columns.
+
+        New nulls in columns that had none are reported; if so set, many columns of many nulls raise."""
+        if not self.features:
+            raise ValueError("fit the imputer first")
+        if lost := sorted(set(self.features) - set(df.columns)):
+            raise ValueError(f"missing features: {lost}")
+        new = self.new_missing(df)
+        if new:
+            LOGGER.warning("nulls in columns that had none when fitted: %s", new)
+        if self.on_new_missing == "error" and sum(s >= self.least_share for s in new.values()) >= self.least_columns:
+            raise ValueError(f"nulls in columns that had none when fitted: {new}")
+        whole = ("int", "bigint", "smallint", "tinyint")
+
+        def filled(c: str) -> Column:
+            x = F.coalesce(F.col(c).cast("double"), F.lit(float(self.values[c]))) if self.types[c] in whole else F.coalesce(F.col(c), F.lit(self.values[c]))
+            return F.bround(x).cast(self.types[c]) if self.types[c] in whole else x.cast(self.types[c])
+
+        others = [c for c in df.columns if c not in self.features]
+        return df.select(*(filled(c).alias(c) for c in self.features), *(F.col(c).isNull().alias(f"{c}_missing_flag") for c in self.flagged), *others)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True, default=str)
+
+    @classmethod
+    def from_json(cls, text: str) -> Imputer:
+        return cls(**json.loads(text))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a seeded hash of the key: the same ones on every run."""
     return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
