@@ -19,10 +19,11 @@ def column_uniqueness(df: DataFrame) -> DataFrame:
     return rows.select("column", "n_unique", "n_null", (F.col("n_unique") == F.col("n")).alias("is_unique"))
 
 
-def summary_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, count, nulls, mean, std, min, quartiles and max of numeric columns, unpivoted and grouped once."""
+def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """column, count, nulls, mean, std, min, quartiles (exact, or with an accuracy) and max of numeric columns, unpivoted and grouped once."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "column", "x")
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    p = F.percentile("x", at) if accuracy is None else F.percentile_approx("x", at, accuracy)
     out = long.groupBy("column").agg(F.count("x").alias("n"), F.count("*").alias("_all"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), p.alias("_p"), F.max("x").alias("max"))
     nulls = F.col("_all") - F.col("n")
     return out.select("column", "n", nulls.alias("null_count"), F.round(100 * nulls / F.col("_all"), 1).alias("null_pct"), "mean", "std", "min", F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q3"), "max")

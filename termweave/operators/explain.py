@@ -57,10 +57,11 @@ def display_names(df: DataFrame, table: DataFrame, feature: str = "feature") ->
     return exact.join(F.broadcast(rules)).withColumn("display_name", F.coalesce("_exact", F.get(hit, F.lit(0))["name"], F.col(feature))).drop("_exact", "_rules")
 
 
-def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature, min, q1, median, q3, max, count, missing: exact percentiles of all columns in one grouped aggregate."""
+def box_stats(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """feature, min, q1, median, q3, max, count, missing: percentiles (exact, or with an accuracy) of all columns in one grouped aggregate."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "feature", "x")
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    p = F.percentile("x", at) if accuracy is None else F.percentile_approx("x", at, accuracy)
     out = long.groupBy("feature").agg(F.min("x").alias("min"), p.alias("p"), F.max("x").alias("max"), F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("int")).cast("bigint").alias("missing"))
     return out.select("feature", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "max", "count", "missing")
 

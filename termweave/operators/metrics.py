@@ -45,9 +45,10 @@ def roc_curve(df: DataFrame, actual: str = "actual", score: str = "score", place
     )
 
 
-def calibration_bins(df: DataFrame, bins: int = 10, actual: str = "actual", score: str = "score") -> DataFrame:
-    """bin, num, mean_score and rate over quantile bins with exact edges; equal edges merge."""
-    edges = F.percentile(score, F.array(*(F.lit(i / bins) for i in range(bins + 1))))
+def calibration_bins(df: DataFrame, bins: int = 10, actual: str = "actual", score: str = "score", accuracy: int | None = None) -> DataFrame:
+    """bin, num, mean_score and rate over quantile bins with exact edges, or with an accuracy; equal edges merge."""
+    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
+    edges = F.percentile(score, at) if accuracy is None else F.percentile_approx(score, at, accuracy)
     edge = df.agg(F.array_distinct(edges).alias("_edges"))
     place = F.least(F.size(F.filter("_edges", lambda e: e <= F.col(score))) - 1, F.size("_edges") - 2)
     placed = df.join(F.broadcast(edge)).withColumn("bin", F.greatest(place, F.lit(0)))

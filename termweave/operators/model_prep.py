@@ -143,9 +143,11 @@ def collinear_features(df: DataFrame, columns: Sequence[str], most: float = K.VI
     return dropped
 
 
-def imputation_values(df: DataFrame, numeric: Sequence[str], other: Sequence[str], skew: float = 0.5) -> dict[str, object]:
-    """Fill values, by one aggregate: mean or, where sample skewness is at least skew, median; the smallest mode of others."""
-    made = [a for c in numeric for a in (F.avg(c).alias(f"{c}|mean"), F.median(c).alias(f"{c}|median"), F.skewness(c).alias(f"{c}|skew"), F.count(c).alias(f"{c}|n"))]
+def imputation_values(df: DataFrame, numeric: Sequence[str], other: Sequence[str], skew: float = 0.5, accuracy: int | None = None) -> dict[str, object]:
+    """Fill values, by one aggregate: mean or, where sample skewness is at least skew, median (exact, or with an accuracy); the
+    smallest mode of others."""
+    median = F.median if accuracy is None else lambda c: F.percentile_approx(c, 0.5, accuracy)
+    made = [a for c in numeric for a in (F.avg(c).alias(f"{c}|mean"), median(c).alias(f"{c}|median"), F.skewness(c).alias(f"{c}|skew"), F.count(c).alias(f"{c}|n"))]
     row = df.agg(*made, *(F.mode(c, True).alias(c) for c in other)).first()
     out: dict[str, object] = {c: row[c] for c in other}
     for c in numeric:

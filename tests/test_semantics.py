@@ -200,7 +200,7 @@ def test_ranked_keys(spark):
     assert all("student_id" in k.columns for k in found) and ("student_id",) in {k.columns for k in found}
     brute = {k.columns: round(len({tuple(r[df.columns.index(c)] for c in k.columns) for r in rows}) / 400, 4) for k in found}
     assert all(k.uniqueness == brute[k.columns] for k in found)
-    assert profiling.ranked_keys(df.select("flag")) != [] and profiling.ranked_keys(df.select("score")) == []
+    assert profiling.ranked_keys(df.select("flag")) == [] and profiling.ranked_keys(df.select("score")) == []
 
 
 def test_cleaning_by_contract(spark):
@@ -234,3 +234,12 @@ def test_imputer(spark, caplog):
         strict.transform(later)
     with pytest.raises(ValueError):
         again.transform(later.drop("x"))
+
+
+def test_percentiles_with_an_accuracy(spark):
+    from termweave.operators import explain, model_prep
+
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"), (F.col("id") / 1000).alias("score"), (F.col("id") % 2 == 0).alias("actual"))
+    assert eda.summary_stats(df, ["x"], 10_000).first().median == explain.box_stats(df, ["x"], 10_000).first().median == 500.0
+    assert model_prep.imputation_values(df, ["x"], [], skew=-1.0, accuracy=10_000)["x"] == 500.0
+    assert [r.num for r in metrics.calibration_bins(df, 4, accuracy=10_000).orderBy("bin").collect()] == [250, 250, 250, 251]
