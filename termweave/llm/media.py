@@ -8,7 +8,7 @@ brightened copies.
 Images with equal pixels form one class (class_id: its smallest image_id) and take part once, so a picture that a third
 of all rows hold costs one. Query classes are matched against all classes; the result has one row for each image.
 
-Images are binary PGM, PPM or 8-bit PNG. Defined results: null, broken or other bytes are an image without pixels (a
+Images are binary PGM, PPM, 8-bit PNG or sequential JPEG (of which the brightness is read). Defined results: null, broken or other bytes are an image without pixels (a
 class of its own bytes, no matches); an image without corners matches nothing; repeated image_ids take part one by one
 and share their class if their pixels are equal; a null image_id is no query; empty tables give no rows.
 """
@@ -92,16 +92,136 @@ def _png(data: bytes) -> np.ndarray | None:
     return pixels[..., :3].mean(axis=2) if channels > 2 else pixels[..., 0].astype(float)
 
 
+def _zigzag() -> np.ndarray:
+    """Places in a block of 8 by 8, row by row, in the order of a JPEG scan: along diagonals, in turns."""
+    cells = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
+    return np.array([8 * y + x for y, x in cells])
+
+
+_ZIGZAG = _zigzag()
+_COSINES = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8)[None, :] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)
+
+
+class _Bits:
+    """Bits of an entropy-coded segment, and the symbols of Huffman tables."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def take(self, n: int) -> int:
+        while self.n < n:
+            byte = self.data[self.at] if self.at < len(self.data) else 0
+            self.at += 1
+            self.held, self.n = (self.held << 8 | byte) & 0xFFFFFFFF, self.n + 8
+        self.n -= n
+        return self.held >> self.n & ((1 << n) - 1)
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (found := table.get((length, code))) is not None:
+                return found
+        raise ValueError("no such code")
+
+    def number(self, size: int) -> int:
+        """A coefficient of so many bits; those that start with 0 are negative."""
+        value = self.take(size) if size else 0
+        return value if not size or value >> size - 1 else value - (1 << size) + 1
+
+
+def _block(bits: _Bits, dc: dict, ac: dict) -> np.ndarray:
+    """Coefficients in the order of the scan; the first is a difference."""
+    out = np.zeros(64)
+    out[0] = bits.number(bits.symbol(dc))
+    k = 1
+    while k < 64:
+        run, size = divmod(bits.symbol(ac), 16)
+        if not size:
+            if run < 15:
+                break
+            k += 16
+            continue
+        k += run
+        out[k] = bits.number(size)
+        k += 1
+    return out
+
+
+def _jpeg(data: bytes) -> np.ndarray | None:
+    """Brightness of a sequential JPEG with Huffman codes; None for other kinds."""
+    at, quants, codes, frame, interval = 2, {}, {}, None, 0
+    while at + 4 <= len(data):
+        mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        if mark == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quants[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(float)
+                body = body[1 + 64 * (1 + wide) :]
+        elif mark == 0xC4:
+            while body:
+                counts, code, place, table = body[1:17], 0, 17, {}
+                for length, n in enumerate(counts, 1):
+                    for _ in range(n):
+                        table[length, code] = body[place]
+                        code, place = code + 1, place + 1
+                    code <<= 1
+                codes[body[0]] = table
+                body = body[place:]
+        elif mark in (0xC0, 0xC1):
+            frame = body
+        elif 0xC2 <= mark <= 0xCF:
+            return None
+        elif mark == 0xDD:
+            interval = int.from_bytes(body[:2], "big")
+        elif mark == 0xDA:
+            break
+        at += 2 + size
+    if frame is None or frame[0] != 8:
+        return None
+    height, width = int.from_bytes(frame[1:3], "big"), int.from_bytes(frame[3:5], "big")
+    parts = [(frame[6 + 3 * k], frame[7 + 3 * k] >> 4, frame[7 + 3 * k] & 15, frame[8 + 3 * k]) for k in range(frame[5])]
+    scan = {body[1 + 2 * k]: (codes[body[2 + 2 * k] >> 4], codes[16 | body[2 + 2 * k] & 15]) for k in range(body[0])}
+    if len(scan) != len(parts):
+        return None
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    h, v = parts[0][1:3]
+    grey = np.zeros((down * v * 8, across * h * 8))
+    # restart marks part the segments; a stuffed zero follows each byte of ones
+    segments = re.split(rb"\xff[\xd0-\xd7]", re.split(rb"\xff[\x01-\xcf\xd8-\xfe]", data[at + 2 + size :], maxsplit=1)[0])
+    step = interval or across * down
+    for s, segment in enumerate(segments):
+        bits, last = _Bits(segment.replace(b"\xff\x00", b"\xff")), dict.fromkeys(scan, 0.0)
+        for unit in range(s * step, min((s + 1) * step, across * down)):
+            for k, (name, ph, pv, quant) in enumerate(parts):
+                for j in range(pv):
+                    for i in range(ph):
+                        block = _block(bits, *scan[name])
+                        block[0] = last[name] = last[name] + block[0]
+                        if k == 0:
+                            flat = np.zeros(64)
+                            flat[_ZIGZAG] = block * quants[quant]
+                            y, x = 8 * (unit // across * v + j), 8 * (unit % across * h + i)
+                            grey[y : y + 8, x : x + 8] = _COSINES @ flat.reshape(8, 8) @ _COSINES.T
+    return np.clip(grey[: -(-height * v // most_v), : -(-width * h // most_h)] + 128, 0, 255)
+
+
 def decode(data: bytes | None) -> np.ndarray | None:
     """Grey pixels, or None."""
     try:
         if data and data.startswith(b"\x89PNG\r\n\x1a\n"):
             return _png(data)
+        if data and data.startswith(b"\xff\xd8\xff"):
+            return _jpeg(data)
         if data and (m := re.match(rb"P([56])\s+(?:#.*\s)*(\d+)\s+(\d+)\s+255\s", data)):
             depth = 1 if m[1] == b"5" else 3
             width, height = int(m[2]), int(m[3])
             return np.frombuffer(data, np.uint8, width * height * depth, m.end()).reshape(height, width, depth).mean(axis=2)
-    except (ValueError, struct.error, zlib.error):
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error):
         pass
     return None
 

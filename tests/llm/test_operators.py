@@ -600,6 +600,73 @@ def test_media_of_small_crops_and_odd_scales(spark):
         assert out[200 * i] == [200 * i + 1] and out[200 * i + 100] == [200 * i + 101, 200 * i + 102]
 
 
+def jpeg(pixels, colour=False, interval=0):
+    """A sequential JPEG with codes of equal length: 4 bits for sizes of the first coefficient, 8 for the others. In colour,
+    two flat components of half the size lie beside the brightness."""
+    h, w = pixels.shape
+    unit = 16 if colour else 8
+    padded = np.pad(pixels.astype(float) - 128, ((0, -h % unit), (0, -w % unit)), mode="edge")
+    cosines = media._COSINES
+    symbols = [16 * run + size for run in range(16) for size in range(11)]
+    code = {x: k for k, x in enumerate(symbols)}
+    out, bits = bytearray(), ""
+
+    def number(x):
+        size = abs(x).bit_length()
+        return size, f"{x if x > 0 else x + (1 << size) - 1:0{size}b}" if size else ""
+
+    def coded(block, before):
+        scan = np.rint(cosines.T @ block @ cosines).astype(int).ravel()[media._ZIGZAG].tolist()
+        size, tail = number(scan[0] - before)
+        text, run = f"{size:04b}{tail}", 0
+        last = max((k for k in range(1, 64) if scan[k]), default=0)
+        for k in range(1, last + 1):
+            if not scan[k]:
+                run += 1
+                if run == 16:
+                    text, run = text + f"{code[0xF0]:08b}", 0
+                continue
+            size, tail = number(scan[k])
+            text, run = text + f"{code[16 * run + size]:08b}{tail}", 0
+        return text + (f"{code[0]:08b}" if last < 63 else ""), scan[0]
+
+    def flush():
+        nonlocal bits
+        data = bits + "1" * (-len(bits) % 8)
+        out.extend(int(data, 2).to_bytes(len(data) // 8, "big").replace(b"\xff", b"\xff\x00") if data else b"")
+        bits = ""
+
+    before, units = 0, [(y, x) for y in range(0, padded.shape[0], unit) for x in range(0, padded.shape[1], unit)]
+    for n, (y, x) in enumerate(units):
+        if interval and n and n % interval == 0:
+            flush()
+            out += bytes([0xFF, 0xD0 + (n // interval - 1) % 8])
+            before = 0
+        for j in range(0, unit, 8):
+            for i in range(0, unit, 8):
+                text, before = coded(padded[y + j : y + j + 8, x + i : x + i + 8], before)
+                bits += text
+        bits += f"{0:04b}{code[0]:08b}" * (2 if colour else 0)
+    flush()
+    part = lambda mark, body: bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+    sides = h.to_bytes(2, "big") + w.to_bytes(2, "big")
+    parts = bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]) if colour else bytes([1, 1, 0x11, 0])
+    tables = part(0xC4, bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12)])) + part(0xC4, bytes([0x10, *[0] * 7, len(symbols), *[0] * 8, *symbols]))
+    scan = bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]) if colour else bytes([1, 1, 0, 0, 63, 0])
+    restart = part(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    return b"\xff\xd8" + part(0xDB, bytes([0] + [1] * 64)) + part(0xC0, bytes([8]) + sides + parts) + tables + restart + part(0xDA, scan) + bytes(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("colour, interval", [(False, 0), (False, 3), (True, 0), (True, 2)])
+def test_jpeg(colour, interval):
+    pixels = media.picture([2.0, float(interval)])[:61, :75]
+    data = jpeg(pixels, colour, interval)
+    seen = media.decode(data)
+    assert seen.shape == pixels.shape and np.abs(seen - pixels).max() < 3
+    assert media.decode(data[:200]) is None or media.decode(data[:200]).shape == pixels.shape
+    assert media.decode(data.replace(b"\xff\xc0", b"\xff\xc2")) is None and media.decode(b"\xff\xd8\xff") is None
+
+
 def test_png():
     import struct
     import zlib
