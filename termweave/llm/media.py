@@ -1,6 +1,6 @@
 """Copies in media columns by local image descriptors.
 
-Corners (Harris) of every part of a picture, on several scales, get an orientation (intensity centroid) and 128 binary brightness tests that turn
+Corners (Harris) of every part of a picture, on several scales, get an orientation (intensity centroid) and 256 binary brightness tests that turn
 with it. Descriptors meet in TABLES hash tables of 16 bits each, a join that keeps pairs within FAR bits; image pairs
 with enough of them must agree on one similarity transform (shift, turn, scale), which finds cropped, turned, scaled and
 brightened copies.
@@ -15,6 +15,7 @@ and share their class if their pixels are equal; a null image_id is no query; em
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -32,11 +33,12 @@ SCALES = (1.0, 0.75, 0.5)
 #: Corners that are kept of each square of TILE pixels of every scale: their number grows with the area.
 POINTS = 3
 TILE = 16
-TESTS = 128
+TESTS = 256
+WORDS = TESTS // 64
 REACH = 9
 MARGIN = 14
 TABLES = 8
-FAR = 16
+FAR = 28
 LEAST_MATCHES = 4
 INLIERS = 5
 SIDE = 96
@@ -52,7 +54,8 @@ STEP_PIXELS = 1 << 21
 TASK_ROWS = 1000
 
 _PATTERN = np.clip(np.random.default_rng(11).normal(0, REACH / 2, (TESTS, 2, 2)), -REACH, REACH)
-_POINT = "array<struct<x:float,y:float,scale:float,angle:float,d0:bigint,d1:bigint>>"
+_FIELDS = ("x", "y", "scale", "angle", *(f"d{k}" for k in range(WORDS)))
+_POINT = "array<struct<" + ",".join(f"{n}:{'bigint' if n[0] == 'd' else 'float'}" for n in _FIELDS) + ">>"
 
 
 def _png(data: bytes) -> np.ndarray | None:
@@ -254,7 +257,7 @@ def _blur(x: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 def describe(images: np.ndarray) -> list[list[tuple]]:
-    """x, y, scale, angle and two words of tests, for the corners of each image of a stack of one shape."""
+    """x, y, scale, angle and WORDS words of tests, for the corners of each image of a stack of one shape."""
     out: list[list[tuple]] = [[] for _ in images]
     disc = [(dy, dx) for dy in range(-7, 8) for dx in range(-7, 8) if dy * dy + dx * dx <= 49]
     dy, dx = np.array(disc).T
@@ -290,13 +293,12 @@ def describe(images: np.ndarray) -> list[list[tuple]]:
             picked = picked - slope_x * qx - slope_y * qy
             words = np.packbits(picked[..., 0] < picked[..., 1], axis=1).view(np.int64)
             for j, i in enumerate(image.tolist()):
-                out[i].append((float((x[j] + 0.5) / scale), float((y[j] + 0.5) / scale), 1 / scale, float(angle[j]), int(words[j, 0]), int(words[j, 1])))
+                out[i].append((float((x[j] + 0.5) / scale), float((y[j] + 0.5) / scale), 1 / scale, float(angle[j]), *words[j].tolist()))
     return out
 
 
 def _described(media: DataFrame) -> DataFrame:
-    names = ("x", "y", "scale", "angle", "d0", "d1")
-    kind = pa.list_(pa.struct([(n, pa.float32() if n not in ("d0", "d1") else pa.int64()) for n in names]))
+    kind = pa.list_(pa.struct([(n, pa.int64() if n[0] == "d" else pa.float32()) for n in _FIELDS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +312,7 @@ def _described(media: DataFrame) -> DataFrame:
                     step = max(1, STEP_PIXELS // max(1, shape[0] * shape[1]))
                     for b in range(0, len(some), step):
                         for i, found in zip(some[b : b + step], describe(np.stack([images[i] for i in some[b : b + step]]))):
-                            points[i] = [dict(zip(names, f)) for f in found]
+                            points[i] = [dict(zip(_FIELDS, f)) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests), pa.array(points, kind)], names=["image_id", "digest", "points"])
 
     return cut(media.select(F.col("image_id").cast("bigint"), F.col("image").cast("binary")).mapInArrow(run, f"image_id bigint, digest string, points {_POINT}"), "media-points")
@@ -342,13 +344,14 @@ def find_copies(media: DataFrame, every: int = EVERY, inliers: int = INLIERS) ->
     is_query = F.coalesce(F.col("image_id") % every == 0, F.lit(False))
     classes = cut(described.groupBy("digest").agg(F.min("image_id").alias("class_id"), F.max(is_query).alias("asked"), F.first("points").alias("points")), "media-classes")
     point = classes.where("class_id IS NOT NULL").select("class_id", "asked", F.explode("points").alias("p")).select("class_id", "asked", "p.*")
-    word = lambda t: F.col("d0") if t < TABLES // 2 else F.col("d1")
-    key = lambda t: F.lit(t) * 65536 + F.shiftrightunsigned(word(t), 16 * (t % (TABLES // 2))).bitwiseAND(65535)
-    keyed = point.withColumn("key", F.explode(F.array(*(key(t) for t in range(TABLES)))))
+    lane = lambda word, t: F.shiftrightunsigned(word, 16 * (t % 4)).bitwiseAND(65535)
+    keyed = point.withColumn("key", F.explode(F.array(*(F.lit(t) * 65536 + lane(F.col(f"d{t // 4}"), t) for t in range(TABLES)))))
     asked = cut(keyed.where("asked").drop("asked").toDF(*(f"q_{c}" for c in keyed.drop("asked").columns)), "media-queries")
-    bits = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
+    differ = [F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}")) for k in range(WORDS)]
+    bits = functools.reduce(lambda a, b: a + b, map(F.bit_count, differ))
+    first = F.coalesce(*(F.when(lane(differ[t // 4], t) == 0, t) for t in range(TABLES)))  # a pair is named in the first table that it shares
     side = F.broadcast(asked) if asked.count() <= SMALL else asked
-    met = keyed.join(side, (F.col("key") == F.col("q_key")) & (F.col("class_id") != F.col("q_class_id")) & (bits <= FAR))
+    met = keyed.join(side, (F.col("key") == F.col("q_key")) & (F.col("class_id") != F.col("q_class_id")) & (bits <= FAR) & (first == F.floor(F.col("key") / 65536)))
     fields = ["q_x", "q_y", "q_scale", "q_angle", "x", "y", "scale", "angle"]
     pairs = met.groupBy("q_class_id", "class_id").agg(F.collect_set(F.array(*fields)).alias("matches")).where(F.size("matches") >= LEAST_MATCHES)
 

@@ -510,11 +510,13 @@ def test_common_lines(monkeypatch):
         assert len(pairs) == best[-1, -1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
-@pytest.mark.parametrize("archive_bytes", [32 << 20, 5000])
-def test_warc(spark, archive_bytes):
+@pytest.mark.parametrize("archive_bytes, hot_keys", [(32 << 20, 100_000), (5000, 7)])
+def test_warc(spark, monkeypatch, archive_bytes, hot_keys):
+    monkeypatch.setattr(warc, "HOT_KEYS", hot_keys)
     big = "<p>" + "long " * 50_000
     rows = [(i, f"http://h/{i} x\r\nWARC-Type: evil", f"<p>page {i % 30} é\r\n\r\nWARC/1.1\r\n</p>") for i in range(60)]
     rows += [(100, None, None), (101, "u", ""), (102, "u", big), (103, "u", big), (None, "u", "<p>n"), (104, "u", "<p>n"), (105, "u", "d"), (105, "u", "d")]
+    rows += [(200 + i, f"http://hot/{i}", "<p>hot") for i in range(30)]
     pages = spark.createDataFrame([(*x, "k") for x in rows], "page_id bigint, url string, html string, key string")
     index = warc.write_archives(pages, archive_bytes=archive_bytes)
     first, want = {}, []
@@ -574,10 +576,10 @@ def test_media_query(spark):
 
     def matches(a, b):
         near = []
-        for qx, qy, qs, qa, q0, q1 in points[a]:
-            for x, y, s, t, d0, d1 in points[b]:
-                words = [np.array([u, v], np.int64).view(np.uint16) for u, v in ((q0, q1), (d0, d1))]
-                if (words[0] == words[1]).any() and sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in ((q0, d0), (q1, d1))) <= media.FAR:
+        for qx, qy, qs, qa, *q in points[a]:
+            for x, y, s, t, *d in points[b]:
+                lanes = [np.array(w, np.int64).view(np.uint16)[: media.TABLES] for w in (q, d)]
+                if (lanes[0] == lanes[1]).any() and sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in zip(q, d)) <= media.FAR:
                     near.append((qx, qy, qs, qa, x, y, s, t))
         return len(set(near)) >= media.LEAST_MATCHES and media.agree(np.array(sorted(set(near)), np.float32).astype(float)) >= media.INLIERS
 
