@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, slices
 
+#: Repeated payloads that are broadcast at most.
+HOT_KEYS = 100_000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
@@ -140,14 +142,23 @@ def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], by
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, and first (page_id and url) where another page is the response of an equal payload."""
+    """page_id, url, payload, and first (page_id and url) where another page is the response of an equal payload.
+
+    Payloads that at least one in HOT_KEYS of the pages share (all repeated ones of a small table) are looked up by broadcast,
+    so neither they nor, in a small table, any payload is shuffled; the others join by their keys."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload"))
     key = F.when(F.octet_length("payload") >= min_bytes, F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
     keyed = rows.withColumn("key", key)
-    firsts = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")).where("n > 1").drop("n")
+    firsts = keyed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
+    firsts = cut(firsts.where("n > 1"), "warc-firsts")
+    least = max(2, pages.count() // HOT_KEYS)
+    out = keyed.join(F.broadcast(firsts.where(F.col("n") >= least).drop("n")), "key", "left")
+    if least > 2:
+        others = out.where("first IS NULL").drop("first").join(firsts.where(F.col("n") < least).drop("n").hint("merge"), "key", "left")
+        out = out.where("first IS NOT NULL").unionByName(others)
     other = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
-    return keyed.join(firsts, "key", "left").select("page_id", "url", "payload", F.when(other, F.col("first")).alias("first"))
+    return out.select("page_id", "url", "payload", F.when(other, F.col("first")).alias("first"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
