@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import vocabularies
-from .common import batch_slices, cut, ship, slices
+from .common import KEPT, MEMO_BYTES, batch_slices, cut, keep_only, ship, slices
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT = 1 << 15
 #: Words whose ids a process remembers, and distinct words that it counts before it hands the counts on.
 _MEMO = 400_000
-_FLUSH = 400_000
+_FLUSH = 200_000
 
 
 class _Node:
@@ -153,19 +153,20 @@ class Codec:
         self.marks = vocabularies.specials(path)
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")") if self.marks else None
         self.tokens = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
-        self.memo: dict[str, list[int]] = {}
+        self.numbers = list(range(len(self.tokens)))  # ids in the memo are these very objects
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def merged(self, word: str) -> list[int]:
         """Ids of a word by the vocabulary's merges."""
         return [t.id for t in self.model.tokenize("".join([_LETTERS[b] for b in word.encode()]))]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         ids = self.lexicon.get(word.encode()) if self.lexicon else None
-        if ids is None:
-            ids = self.merged(word)
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-        self.memo[word] = ids
+        ids = tuple(map(self.numbers.__getitem__, self.merged(word) if ids is None else ids))
+        if len(word) <= MEMO_BYTES:
+            if len(self.memo) >= _MEMO:
+                self.memo.clear()
+            self.memo[word] = ids
         return ids
 
     def parts(self, text: str | None) -> list[str]:
@@ -189,10 +190,12 @@ class Codec:
 
 
 _CODECS: dict[tuple, Codec] = {}
+KEPT["bpe"] = [_CODECS, vocabularies.LOADED]
 
 
 def _codec(path: str, shipped: str | None) -> Codec:
     """The codec of this process, with the lexicon of that name among the files that executors have fetched."""
+    keep_only("bpe")
     key = (path, shipped)
     if key not in _CODECS:
         _CODECS.clear()
@@ -204,6 +207,7 @@ def frequent_words(docs: DataFrame, path: str, n: int = FREQUENT) -> list[str]:
     """At most n of the most frequent words of all texts: whole classes of about equal counts, while they fit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bpe")
         codec, counts = Codec(path, None), Counter()
 
         def flush() -> pa.RecordBatch:

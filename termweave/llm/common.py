@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 #: Distinct words a worker remembers before it starts its memo anew.
 MEMO = 200_000
+MEMO_BYTES = 64
 #: Documents that one step of a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
 
@@ -106,18 +107,34 @@ def hash_sample(keys: DataFrame, key: str, n: int) -> DataFrame:
 
 
 class WordHash(dict):
-    """bytes -> 64-bit hash, remembered for up to MEMO words."""
+    """bytes -> 64-bit hash, remembered for up to MEMO words that are not longer than MEMO_BYTES."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The memo of a worker process, for whichever operators run in it.
+WORDS = WordHash()
+#: What operators remember from task to task, by name. Workers live on, so one that turns to another operator forgets the rest.
+KEPT: dict[str, list[dict]] = {"words": [WORDS]}
+
+
+def keep_only(name: str | None = None) -> None:
+    """Called where a task's Python begins: empties what other operators keep in this process."""
+    for other, memos in KEPT.items():
+        if other != name:
+            for memo in memos:
+                memo.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WordHash, batch_slices, block_number, cut, mix, window_hash
+from .common import WORDS, batch_slices, block_number, cut, keep_only, mix, window_hash
 
 WINDOW = 10
 GRAM = 5
 BITMAP = 1 << 25
 
 _TABLE = bytes((c | 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORDS = WordHash()
 _PRINT = pa.struct([("n", pa.int32()), ("h", pa.int64()), ("at", pa.int32())])
 
 
@@ -91,7 +90,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = min(WINDOW, len(words))
             if n:
                 ids.append(i)
-                out.append((n, [_key(words[k : k + n]) for k in range(len(words) - n + 1)], prints_of(_WORDS.array(words), n)[1].view(np.int64)))
+                out.append((n, [_key(words[k : k + n]) for k in range(len(words) - n + 1)], prints_of(WORDS.array(words), n)[1].view(np.int64)))
         if out:
             n, keys, prints = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(ids)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(prints, pa.list_(pa.int64()))], names=["item_id", "n", "keys", "prints"])
@@ -122,13 +121,14 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every row with a number and its words counted; texts only of those with fingerprints that items may have."""
+        keep_only("words")
         row = block_number()
         for batch in batch_slices(batches, "_text"):
             counts, found, texts = [], [], []
             for text in batch.column("_text").to_pylist():
                 words = words_of(text)
                 counts.append(len(words))
-                found.append(shared_prints(_WORDS.array(words), lengths, bitmap) if lengths and len(words) >= lengths[0] else [])
+                found.append(shared_prints(WORDS.array(words), lengths, bitmap) if lengths and len(words) >= lengths[0] else [])
                 texts.append(text if found[-1] else None)
             made = [pa.array(range(row, row + len(counts)), pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_PRINT)), pa.array(texts, pa.string())]
             row += len(counts)

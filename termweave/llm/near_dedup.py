@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, WordHash, cut, mix, slices
+from .common import MEMO, WORDS, cut, keep_only, mix, slices
 
 SHINGLE = 2
 PERCENT = 80
@@ -49,7 +49,6 @@ SMALL_ROWS = 1_000_000
 #: Rows of a class from which on it may be joined by broadcast, and how many such classes there are at most.
 HOT_ROWS, HOT_CLASSES = 10_000, 100_000
 
-_WORDS = WordHash()
 _TABLES: list[np.ndarray] = []
 
 
@@ -66,7 +65,7 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = (text or "").encode().lower().split()
-    x = _WORDS.array(words)
+    x = WORDS.array(words)
     n = min(size, len(x))
     if not n:
         return x
@@ -156,6 +155,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("words")
         for rows, ids, texts in slices(batches, ("row", "id", "text"), "text"):
             out = []
             for text in texts:

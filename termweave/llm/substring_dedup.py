@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, block_number, cut_by, slices, window_hash
+from .common import WORDS, block_number, cut_by, slices, window_hash
 
 WINDOW = 20
 PERIOD = 13
@@ -39,7 +39,6 @@ BUCKET_BYTES = 32 << 20
 SECOND_BASE = 0xD1342543DE82EF95
 LAST = np.iinfo(np.int64).max
 
-_WORDS = WordHash()
 
 
 def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -82,7 +81,7 @@ class Block:
         total = int(self.starts[-1])
         self.x = np.empty(total, np.uint64)
         for words, a in zip(self.words, self.starts):
-            self.x[a : a + len(words)] = _WORDS.array(words)
+            self.x[a : a + len(words)] = WORDS.array(words)
         self.doc = np.repeat(np.array([LAST if i is None else i for i in ids], np.int64), counts)
         self.pos = np.arange(total, dtype=np.int64) - np.repeat(self.starts[:-1], counts)
         self.left = np.repeat(counts, counts) - self.pos  # words from here to the document's end

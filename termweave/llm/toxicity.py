@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import batch_slices, cut, hash_sample, mix, slices
+from .common import batch_slices, cut, hash_sample, keep_only, mix, slices
 
 ORDERS = (4, 5)
 BITS = 22
@@ -114,6 +114,7 @@ def train_rows(rows: list[np.ndarray], toxic: np.ndarray, at: np.ndarray, ratio:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """feature, and how many toxic and other documents of a slice hold it."""
+    keep_only()
     for toxic, texts in slices(batches, ("toxic", "text"), "text"):
         held = [features(t) for t in texts]
         flat = np.concatenate(held)
@@ -157,6 +158,7 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     schema = StructType([*docs.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         scorer = Scorer(model_of.value)
         for batch in batch_slices(batches, "_text"):
             scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]

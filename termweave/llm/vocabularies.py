@@ -14,7 +14,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _UNSURE = re.compile("[԰-῿₀-₟Ꟁ-꯿\U00010000-\U0001efff\U00020000-\U0010ffff]")
 _BYTE_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _WORD_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
-_LOADED: dict[str, object] = {}
+LOADED: dict[str, object] = {}
 
 
 def default_path(name: str) -> str:
@@ -25,11 +25,11 @@ def default_path(name: str) -> str:
 
 def load(path: str):
     """The library's tokenizer, once a process."""
-    if path not in _LOADED:
+    if path not in LOADED:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+        LOADED[path] = Tokenizer.from_file(path)
+    return LOADED[path]
 
 
 def specials(path: str) -> dict[str, int]:
