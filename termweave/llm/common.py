@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -127,6 +128,33 @@ WORDS = WordHash()
 KEPT: dict[str, list[dict]] = {"words": [WORDS]}
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """Word hashes by the memo of this process."""
+    return WORDS.array(words)
+
+
+def relieve() -> None:
+    """Gives what a finished task held back to the system: idle workers stay, and an executor's memory is bounded."""
+    WORDS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's batches that is followed by relieve()."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            relieve()
+
+    return task
+
+
 def keep_only(name: str | None = None) -> None:
     """Called where a task's Python begins: empties what other operators keep in this process."""
     for other, memos in KEPT.items():

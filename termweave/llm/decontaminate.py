@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WORDS, batch_slices, block_number, cut, keep_only, mix, window_hash
+from .common import batch_slices, block_number, cut, hashes, keep_only, lean, mix, window_hash
 
 WINDOW = 10
 GRAM = 5
@@ -90,7 +90,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = min(WINDOW, len(words))
             if n:
                 ids.append(i)
-                out.append((n, [_key(words[k : k + n]) for k in range(len(words) - n + 1)], prints_of(WORDS.array(words), n)[1].view(np.int64)))
+                out.append((n, [_key(words[k : k + n]) for k in range(len(words) - n + 1)], prints_of(hashes(words), n)[1].view(np.int64)))
         if out:
             n, keys, prints = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(ids)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(prints, pa.list_(pa.int64()))], names=["item_id", "n", "keys", "prints"])
@@ -128,7 +128,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
             for text in batch.column("_text").to_pylist():
                 words = words_of(text)
                 counts.append(len(words))
-                found.append(shared_prints(WORDS.array(words), lengths, bitmap) if lengths and len(words) >= lengths[0] else [])
+                found.append(shared_prints(hashes(words), lengths, bitmap) if lengths and len(words) >= lengths[0] else [])
                 texts.append(text if found[-1] else None)
             made = [pa.array(range(row, row + len(counts)), pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_PRINT)), pa.array(texts, pa.string())]
             row += len(counts)
@@ -137,7 +137,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
     a_print = StructType([StructField("n", IntegerType()), StructField("h", LongType()), StructField("at", IntegerType())])
     added = [StructField("_row", LongType()), StructField("n_words", LongType()), StructField("_prints", ArrayType(a_print)), StructField("_text", StringType())]
-    scanned = cut(docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], *added])), "decontaminate-rows")
+    scanned = cut(docs.mapInArrow(lean(scan), StructType([*docs.schema.fields[:-1], *added])), "decontaminate-rows")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows over the shared fingerprints of each text."""
@@ -152,7 +152,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     candidates = scanned.where(F.size("_prints") > 0)
     met = candidates.select("_row", F.explode("_prints").alias("p")).select("_row", "p.*").join(prints, ["n", "h"], "left_semi")
     met = met.groupBy("_row").agg(F.collect_list(F.struct("n", "at")).alias("shared"))  # places of one document
-    windows = candidates.select("_row", "_text").join(met, "_row").mapInArrow(extend, "_row bigint, n int, start int, key binary")
+    windows = candidates.select("_row", "_text").join(met, "_row").mapInArrow(lean(extend), "_row bigint, n int, start int, key binary")
     hit = cut(windows.join(owned.select("n", "key").distinct(), ["n", "key"], "left_semi"), "decontaminate-hits")
 
     end = F.col("start") + F.col("n")

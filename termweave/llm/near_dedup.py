@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, WORDS, cut, keep_only, mix, slices
+from .common import MEMO, WORDS, cut, keep_only, lean, mix, slices
 
 SHINGLE = 2
 PERCENT = 80
@@ -166,7 +166,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     out.append((0, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, ids, *zip(*out), texts), kinds)], names=names)
 
-    return cut(docs.select("row", "id", "text").mapInArrow(run, "row bigint, id bigint, n bigint, set_key binary, bands array<bigint>, sketch binary, text string"), "near-signatures")
+    return cut(docs.select("row", "id", "text").mapInArrow(lean(run), "row bigint, id bigint, n bigint, set_key binary, bands array<bigint>, sketch binary, text string"), "near-signatures")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
     ordered = rows.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "row")
-    return ordered.select("key", "part", "row", "n", "sketch").mapInArrow(run, "a bigint, b bigint")
+    return ordered.select("key", "part", "row", "n", "sketch").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _links(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _links(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "id_a", "b", "id_b"])
 
     ordered = rows.repartition(F.col("unit"), F.col("part")).sortWithinPartitions("unit", "part", "row")
-    found = ordered.select("unit", "part", "row", "id", "text").mapInArrow(run, "a bigint, id_a bigint, b bigint, id_b bigint")
+    found = ordered.select("unit", "part", "row", "id", "text").mapInArrow(lean(run), "a bigint, id_a bigint, b bigint, id_b bigint")
     return found.select(F.struct(F.col("id_a").alias("id"), F.col("a").alias("row")).alias("a"), F.struct(F.col("id_b").alias("id"), F.col("b").alias("row")).alias("b"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import batch_slices, cut, hash_sample, keep_only, mix, slices
+from .common import batch_slices, cut, hash_sample, keep_only, lean, mix, slices
 
 ORDERS = (4, 5)
 BITS = 22
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # one text of each doc_id, so that rows that repeat one do not pass the bound
     texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
     ones, every = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    counts = texts.mapInArrow(_counts, "feature int, in_toxic bigint, in_other bigint").groupBy("feature").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
+    counts = texts.mapInArrow(lean(_counts), "feature int, in_toxic bigint, in_other bigint").groupBy("feature").agg(F.sum("in_toxic").alias("a"), F.sum("in_other").alias("b"))
     ratio = F.log((F.col("a") + 1) / (ones + 2)) - F.log((F.col("b") + 1) / (every - ones + 2))
     kept = counts.where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).select("feature", ratio.alias("ratio")).where(F.abs("ratio") >= LEAST_RATIO).toPandas().sort_values("feature")
     at = kept["feature"].to_numpy(np.int32)
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for toxic, texts in slices(batches, ("toxic", "text"), "text"):
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([features(t, interest).tobytes() for t in texts], pa.binary())], names=["toxic", "features"])
 
-    rows = texts.mapInArrow(run, "toxic int, features binary").collect()
+    rows = texts.mapInArrow(lean(run), "toxic int, features binary").collect()
     rows.sort(key=lambda r: (r.toxic, r.features))
     return train_rows([np.frombuffer(r.features, np.int32) for r in rows], np.array([r.toxic for r in rows]), at, kept["ratio"].to_numpy(float))
 
@@ -165,7 +165,7 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
             out = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
