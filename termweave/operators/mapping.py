@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from termweave.functions.steps import apply_step
 
@@ -75,9 +76,27 @@ def _value(f: Field, hooks) -> Column:
     return out
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orderable(x.dataType) for x in kind)
+    return kind.typeName() not in ("map", "variant", "interval", "geometry", "geography")
+
+
+def _tiebreak(df: DataFrame) -> list[str]:
+    """The columns of df by which rows can be ordered, as they stand."""
+    return [x.name for x in df.schema if _orderable(x.dataType)]
+
+
+def _total(f: Field, order: Sequence[str]) -> list[str]:
+    """The field's order, then the table's columns as they stand, so that what is kept of ties does not depend on how files are read."""
+    return list(dict.fromkeys([*f.order, *order]))
+
+
 def _reduce(f: Field, value: Column, order: Sequence[str]) -> Column:
-    """One value a group; ties and any_row take the smallest in a total order."""
-    by = F.struct(*(F.col(c) for c in (f.order or order)))
+    """One value a group; ties take the smallest in a total order, nulls last, and any_row the smallest value."""
+    by = F.struct(*(x for c in _total(f, order) for x in (F.col(c).isNull(), F.col(c))))
     if f.select == "where_not_null":
         return F.min_by(value, F.when(value.isNotNull(), by))
     if f.select == "first_by":
@@ -89,7 +108,7 @@ def _reduce(f: Field, value: Column, order: Sequence[str]) -> Column:
 
 def _placed(df: DataFrame, fields: Sequence[Field], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with the place of each row in its entity, for the fields that take the n-th: a window by the keys that the aggregate groups by."""
-    return df.withColumns({f"_at_{f.target}": F.row_number().over(Window.partitionBy(*keys).orderBy(*(f.order or order))) for f in fields if f.select == "nth"})
+    return df.withColumns({f"_at_{f.target}": F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in _total(f, order)))) for f in fields if f.select == "nth"})
 
 
 def execute(tables: Mapping[str, DataFrame], manifest: Manifest, hooks: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame:
@@ -103,15 +122,17 @@ def execute(tables: Mapping[str, DataFrame], manifest: Manifest, hooks: Mapping[
     if manifest.one_row_per_key and not duplicates.duplicate_groups(source, keys).isEmpty():
         raise GrainError(f"{manifest.table} has several rows for a key of {keys}")
     own = [f for f in manifest.fields if f.table in (None, manifest.table)]
-    prepared = _placed(source.select(*source.columns, *(_value(f, hooks).alias(f"_{f.target}") for f in own)), own, keys, source.columns)
-    out = prepared.groupBy(*keys).agg(F.count("*").alias("_n"), *(_reduce(f, F.col(f"_{f.target}"), source.columns).alias(f.target) for f in own)).drop("_n")
+    order = _tiebreak(source)
+    prepared = _placed(source.select(*source.columns, *(_value(f, hooks).alias(f"_{f.target}") for f in own)), own, keys, order)
+    out = prepared.groupBy(*keys).agg(F.count("*").alias("_n"), *(_reduce(f, F.col(f"_{f.target}"), order).alias(f.target) for f in own)).drop("_n")
     for table in dict.fromkeys(f.table for f in manifest.fields if f.table not in (None, manifest.table)):
         some = [f for f in manifest.fields if f.table == table]
         names = some[0].keys or {k: k for k in keys}
+        order = _tiebreak(tables[table])
         other = tables[table].select(*tables[table].columns, *(_value(f, hooks).alias(f"_{f.target}") for f in some))
-        other = _placed(other, some, list(names.values()), tables[table].columns)
+        other = _placed(other, some, list(names.values()), order)
         kinds = dict(out.dtypes)
-        reduced = other.groupBy(*(F.col(names[k]).cast(kinds[k]).alias(f"_k_{k}") for k in names)).agg(*(_reduce(f, F.col(f"_{f.target}"), tables[table].columns).alias(f.target) for f in some))
+        reduced = other.groupBy(*(F.col(names[k]).cast(kinds[k]).alias(f"_k_{k}") for k in names)).agg(*(_reduce(f, F.col(f"_{f.target}"), order).alias(f.target) for f in some))
         on = [F.col(k) == F.col(f"_k_{k}") for k in names]
         out = out.join(reduced, on, "left").drop(*(f"_k_{k}" for k in names))
     return out.select(*(F.col(k).alias(manifest.aliases.get(k, k)) for k in keys), *(f.target for f in manifest.fields))

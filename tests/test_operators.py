@@ -201,6 +201,18 @@ def test_nth_of_an_entity(spark):
     assert rows(mapping.execute({"people": people, "visits": visits}, manifest), "id", "second", "first") == [(1, "b", "a"), (2, None, "z")]
 
 
+def test_ties_of_an_order_fall_to_the_columns_as_they_stand(spark):
+    from termweave.operators import mapping
+
+    people = spark.createDataFrame([(i,) for i in range(50)], "id int")
+    visits = [(visit, p, at, what, {visit: p}) for p in range(50) for visit, at, what in ((0, None, "no time"), (1, 1, "b"), (2, 1, "a"))]
+    fields = [mapping.Field(s, "what", "visits", select=s, n=1, order=["at"]) for s in ("where_not_null", "first_by", "nth")]
+    for read in (visits, visits[::-1]):
+        df = spark.createDataFrame(read, "visit int, id int, at int, what string, other map<int,int>")
+        out = mapping.execute({"people": people, "visits": df}, mapping.Manifest("people", ["id"], fields))
+        assert sorted(map(tuple, out.collect())) == [(p, "b", "b", "a") for p in range(50)]
+
+
 def test_vocabulary_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).alias("b"))
     assert student_terms.vocabulary(df, ["b"]) == {"b": [0, 1, 2]}
