@@ -88,9 +88,42 @@ def resolve(df: DataFrame, policy: dict) -> DataFrame:
     raise ValueError(f"no such strategy: {kind}")
 
 
-def by_key_groups(df: DataFrame, keys: Sequence[str], hook) -> DataFrame:
-    """df with a function pandas frame -> pandas frame of the same columns applied to each key's rows: the slow, general way."""
-    return df.groupBy(*keys).applyInPandas(hook, df.schema)
+def by_key_groups(df: DataFrame, keys: Sequence[str], hook, many: bool = False) -> DataFrame:
+    """df with a function pandas frame -> pandas frame of the same columns applied to each key's rows: the slow, general way.
+
+    With many, the function takes the rows of many keys in one call, each key whole, and its cost is one of rows, not of
+    calls: the index numbers the keys (rows with one number are those of one key, null is a key), and columns have Arrow
+    types, in which whole numbers beside nulls stay exact.
+    """
+    if not many:
+        return df.groupBy(*keys).applyInPandas(hook, df.schema)
+    names = list(df.columns)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        def hooked(parts):
+            table = pa.Table.from_batches(parts)
+            rows = table.select(names).to_pandas(types_mapper=pd.ArrowDtype, ignore_metadata=True)
+            rows.index = np.cumsum(table.column("_first").to_numpy())
+            return pa.Table.from_pandas(hook(rows), table.select(names).schema, preserve_index=False).to_batches()
+
+        kept = []  # of the last key begun: the next batch may go on with it
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if not len(starts):
+                kept.append(batch)
+                continue
+            if kept or starts[-1]:
+                yield from hooked([*kept, batch.slice(0, starts[-1])])
+            kept = [batch.slice(starts[-1])]
+        if kept:
+            yield from hooked(kept)
+
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) == 1  # leaves each key's rows side by side
+    return df.withColumn("_first", first).mapInArrow(run, df.schema)
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -152,9 +152,14 @@ def within_key_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, max(l_quantity) l_quantity FROM lineitem GROUP BY 1,2")
 def key_groups_by_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pandas function of the caller's over the rows of each key."""
+    """A pandas function of the caller's over the rows of each key, called with many keys at once."""
     df = lens.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return duplicates.by_key_groups(df, ["l_orderkey", "l_linenumber"], lambda rows: rows.nlargest(1, "l_quantity"))
+
+    def largest(rows):
+        rows = rows.sort_values("l_quantity", ascending=False)
+        return rows[~rows.index.duplicated()]
+
+    return duplicates.by_key_groups(df, ["l_orderkey", "l_linenumber"], largest, many=True)
 
 
 @query("SELECT p_brand, p_brand LIKE '%-_%' suffixed FROM (SELECT DISTINCT CASE WHEN p_size%2=0 THEN p_brand ELSE p_brand||'-'||p_size END p_brand FROM part)")

@@ -202,8 +202,6 @@ def test_nth_of_an_entity(spark):
 
 
 def test_ties_of_an_order_fall_to_the_columns_as_they_stand(spark):
-    from termweave.operators import mapping
-
     people = spark.createDataFrame([(i,) for i in range(50)], "id int")
     visits = [(visit, p, at, what, {visit: p}) for p in range(50) for visit, at, what in ((0, None, "no time"), (1, 1, "b"), (2, 1, "a"))]
     fields = [mapping.Field(s, "what", "visits", select=s, n=1, order=["at"]) for s in ("where_not_null", "first_by", "nth")]
@@ -213,6 +211,33 @@ def test_ties_of_an_order_fall_to_the_columns_as_they_stand(spark):
         assert sorted(map(tuple, out.collect())) == [(p, "b", "b", "a") for p in range(50)]
 
 
+def test_hook_over_many_whole_keys(spark):
+    big, day = 2**60, datetime.datetime(2024, 3, 31, 1, 30)
+    data = [(None if k == 0 else big + k, "x", i, None if i % 5 == 0 else big + i, day, [k, i], float("nan") if i == 1 else None if i == 2 else -0.0) for k in range(40) for i in range(1 + k % 4 * 3 + 90 * (k == 7))]
+    df = spark.createDataFrame(data, "k bigint, c string, i int, v bigint, at timestamp, a array<bigint>, x double").repartition(5)
+    plain = lambda found: sorted(map(repr, found))
+    one = lambda p: p.sort_values("i", ascending=False).pipe(lambda q: q[~q.index.duplicated()])
+    last = {r[0]: r for r in data}
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            assert plain(duplicates.by_key_groups(df, ["k", "c"], lambda p: p, many=True).collect()) == plain(df.collect())
+            assert plain(map(tuple, duplicates.by_key_groups(df, ["k", "c"], one, many=True).collect())) == plain(last.values())
+            assert duplicates.by_key_groups(df, ["k", "c"], lambda p: p.head(0), many=True).count() == 0
+        assert duplicates.by_key_groups(df, ["k", "c"], lambda p: p.head(1), many=True).count() <= 8  # one row a call
+        assert duplicates.by_key_groups(df.where("false"), ["k"], one, many=True).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_hook_query_calls_it_for_many_keys(spark, monkeypatch):
+    from termweave.plans.queries import QUERIES
+
+    real = duplicates.by_key_groups
+    monkeypatch.setattr(duplicates, "by_key_groups", lambda df, keys, hook, **how: real(df.where("l_orderkey < 500"), keys, lambda rows: hook(rows).head(1), **how))
+    assert QUERIES["key_groups_by_hook"](spark, "/root/testdata/sf0.001").count() <= 8  # one row a call
+
+
 def test_vocabulary_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).alias("b"))
     assert student_terms.vocabulary(df, ["b"]) == {"b": [0, 1, 2]}
